@@ -42,6 +42,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm import jaccard
+
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm import tokenbin
 
@@ -54,7 +60,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat_format, op5_language_id, op6_best_fit_packing, op8_token_output, op10_html_extract)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat_format, op5_language_id, op6_best_fit_packing, op7_ngram_jaccard, op8_token_output, op10_html_extract)}
 
 ORACLE_SQL: dict[str, str] = {
     # '\\' needs no doubling in this SQL; chr(10) is the line end.
