@@ -27,6 +27,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.summary(chat.format_chats(turns.unionByName(more)))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm import suffixdedup
+
+    return suffixdedup.summary(suffixdedup.repeats(_table(spark, sf_dir, "documents")))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm import langid
 
@@ -60,7 +66,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat_format, op5_language_id, op6_best_fit_packing, op7_ngram_jaccard, op8_token_output, op10_html_extract)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat_format, op4_suffix_dedup, op5_language_id, op6_best_fit_packing, op7_ngram_jaccard, op8_token_output, op10_html_extract)}
 
 ORACLE_SQL: dict[str, str] = {
     # '\\' needs no doubling in this SQL; chr(10) is the line end.
