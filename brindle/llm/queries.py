@@ -18,6 +18,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm import decontam
+
+    return decontam.summary(decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm import chat
 
@@ -66,7 +72,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat_format, op4_suffix_dedup, op5_language_id, op6_best_fit_packing, op7_ngram_jaccard, op8_token_output, op10_html_extract)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op4_suffix_dedup, op5_language_id, op6_best_fit_packing, op7_ngram_jaccard, op8_token_output, op10_html_extract)}
 
 ORACLE_SQL: dict[str, str] = {
     # '\\' needs no doubling in this SQL; chr(10) is the line end.
