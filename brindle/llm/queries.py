@@ -33,6 +33,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.summary(chat.format_chats(turns.unionByName(more)))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm import pii
+
+    return pii.summary(pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm import suffixdedup
 
@@ -72,7 +78,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op4_suffix_dedup, op5_language_id, op6_best_fit_packing, op7_ngram_jaccard, op8_token_output, op10_html_extract)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_pii, op4_suffix_dedup, op5_language_id, op6_best_fit_packing, op7_ngram_jaccard, op8_token_output, op10_html_extract)}
 
 ORACLE_SQL: dict[str, str] = {
     # '\\' needs no doubling in this SQL; chr(10) is the line end.
