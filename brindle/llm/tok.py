@@ -1,20 +1,23 @@
 """Encode whole texts with a tokenizers file, through a cache of the pieces between single blanks.
 
-A single blank or line end between two characters that are no white space always starts a new pre-token
-in the two tokenizer files used here, so the ids of a text are those of its pieces, one after the other.
-Longer white space stays inside a piece. Only pieces that the cache does not hold reach the library.
+A single blank or line end between two characters that are no white space always starts a new pre-token in the two
+tokenizer files used here, and so does the change from letters to other signs; the ids of a text are those of its pieces,
+one after the other. Longer or other white space stays inside a piece. Only pieces that the cache does not hold reach the
+library. A key is a piece without its leading blank; ``\\0`` marks the first piece of a text, which has none, and ``\\1`` a
+piece that is taken as it is.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 from brindle.llm.common import process_cache
 
-# Anything but single blanks and line ends between other characters.
-ODD = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z|[\x1c-\x1f\x85]")
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-CACHE_ENTRIES = 400_000
+# A word of plain letters, perhaps with one sign behind it.
+WORD = re.compile(r"([\0\n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+CACHE_ENTRIES = 500_000  # of each of two generations
 
 
 def load(path: str):
@@ -27,32 +30,72 @@ def load(path: str):
     return held[path]
 
 
-def pieces(text: str) -> list[str]:
-    """The text cut before each single blank or line end; joined, they give the text again."""
-    if ODD.search(text):
-        return [text] if re.search(r"[\x1c-\x1f\x85]", text) else CUT.split(text)
-    lines = text.split("\n")
-    if len(lines) == 1:
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else CUT.split(text)
-    if "\0" in text:
-        return CUT.split(text)
-    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+def keys(text: str) -> list[str]:
+    """The keys of any text."""
+    if re.search(r"[\0\1\x1c-\x1f\x85]", text):
+        return ["\1" + text]
+    out = []
+    for k, piece in enumerate(CUT.split(text)):
+        body = piece[1:] if k else piece
+        out.append("\1" + piece if body.split() != [body] else "\0" + body if not k else piece if piece[0] == "\n" else body)
+    return out
+
+
+def _plain(key: str) -> bool:
+    body = key[1:] if key[0] in "\0\n" else key
+    return body.split() == [body] and "\0" not in body and "\1" not in body
+
+
+class Cache:
+    def __init__(self, path: str) -> None:
+        self.tokenizer = load(path)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.signs = dict(zip(("", "\n", ".", ","), self._ids(["", "\n", ".", ","])))
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def hold(self, every: set[str]) -> None:
+        """Make the young generation hold the keys."""
+        new = every.difference(self.young)
+        if len(self.young) + len(new) > CACHE_ENTRIES:
+            self.old, self.young, new = self.young, {}, every
+        young, old, signs = self.young, self.old, self.signs
+        compound, other = {}, set()
+        for k in new:
+            if k in old:
+                young[k] = old[k]
+            elif (m := WORD.fullmatch(k)) and (m[3] or m[1] == "\n"):
+                word = "\0" + m[2] if m[1] else m[2]
+                compound[k] = (m[1], word, m[3])
+                if word not in young:
+                    if word in old:
+                        young[word] = old[word]
+                    else:
+                        other.add(word)
+            else:
+                other.add(k)
+        names = list(other)
+        for at in range(0, len(names), 20_000):
+            some = names[at : at + 20_000]
+            young.update(zip(some, self._ids([k[1:] if k[0] in "\0\1" else k if k[0] == "\n" else " " + k for k in some])))
+        for k, (a, w, z) in compound.items():
+            young[k] = (signs["\n"] if a == "\n" else b"") + young[w] + signs[z]
 
 
 def encode(texts: list[str | None], path: str) -> list[bytes]:
     """For each text its ids as little-endian unsigned 32-bit integers; a null text has none."""
-    import numpy as np
-
-    cache = process_cache(f"ids:{path}")
-    tokenizer = load(path)
-    cut = [pieces(t) if t else [] for t in texts]
-    new = list(set().union(*cut).difference(cache))
-    if len(cache) + len(new) > CACHE_ENTRIES:
-        cache.clear()
-        new = list(set().union(*cut))
-    for at in range(0, len(new), 20_000):
-        some = new[at : at + 20_000]
-        for piece, got in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-            cache[piece] = np.array(got.ids, dtype="<u4").tobytes()
-    get = cache.__getitem__
+    held = process_cache("ids")
+    if path not in held:
+        held[path] = Cache(path)
+    cache = held[path]
+    cut = [("\0" + t.replace("\n", " \n")).split(" ") if t else [] for t in texts]
+    every = set().union(*cut)
+    odd = {k for k in every.difference(cache.young) if not k or not _plain(k)}
+    if odd:
+        cut = [keys(t) if c and not odd.isdisjoint(c) else c for t, c in zip(texts, cut)]
+        every = set().union(*cut)
+    cache.hold(every)
+    get = cache.young.__getitem__
     return [b"".join(map(get, x)) for x in cut]
