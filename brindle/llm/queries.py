@@ -72,13 +72,19 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.summary(tokenbin.write(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm import ann
+
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm import html
 
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_pii, op4_suffix_dedup, op5_language_id, op6_best_fit_packing, op7_ngram_jaccard, op8_token_output, op10_html_extract)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_pii, op4_suffix_dedup, op5_language_id, op6_best_fit_packing, op7_ngram_jaccard, op8_token_output, op9_nearest_neighbours, op10_html_extract)}
 
 ORACLE_SQL: dict[str, str] = {
     # '\\' needs no doubling in this SQL; chr(10) is the line end.
