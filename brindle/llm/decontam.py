@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import slices
+from brindle.llm.common import materialize, slices
 from brindle.llm.spans import LOWER, Powers, joined, range_names, words
 
 WINDOW = 10
@@ -157,4 +157,6 @@ def summary(found: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the documents that hold a window of any item. Rows whose doc_id is null stay."""
     bad = matches(docs, benchmark, window).where("size(matches) > 0").select("doc_id").distinct()
+    # Written first, so that its size decides whether it is broadcast.
+    bad = materialize(bad, "contaminated")
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)

@@ -100,8 +100,12 @@ def train(rows: DataFrame) -> Model | None:
     if not counts[0]:
         return None
     idf = np.log((1 + counts[0]) / (1 + counts[1:])) + 1.0
-    languages = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    few = rows.where(F.col("lang").isin(languages)).select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
+    languages = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    # About twice the sample by hash, so that ranking the rest takes no more rows of a frequent language than of another.
+    share = F.lit(0.0)
+    for name, n in languages:
+        share = F.when(F.col("lang") == name, F.lit(2.0 * SAMPLE_PER_LANGUAGE / n)).otherwise(share)
+    few = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).where(F.pmod(F.shiftrightunsigned("_h", 11), F.lit(1 << 40)) < share * float(1 << 40))
     few = few.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_r") <= SAMPLE_PER_LANGUAGE)
     sample = rows.join(F.broadcast(few.select("doc_id", "lang").distinct()), ["doc_id", "lang"])  # LANGUAGES * SAMPLE_PER_LANGUAGE rows at most
 
@@ -124,7 +128,7 @@ def train(rows: DataFrame) -> Model | None:
         return pa.table({"lang": [table.column("lang")[0].as_py()], "centroids": pa.array([c.tobytes()], pa.binary()), "limits": pa.array([np.minimum.accumulate(limits[::-1])[::-1].astype("f8").tobytes()], pa.binary())})
 
     fitted = {r["lang"]: r for r in sample.groupBy("lang").applyInArrow(fit, schema).collect()}
-    languages = [x for x in languages if x in fitted]
+    languages = [x for x, _ in languages if x in fitted]
     if not languages:
         return None
     parts = [np.frombuffer(fitted[x]["centroids"], np.float32).reshape(-1, DIMENSIONS) for x in languages]
