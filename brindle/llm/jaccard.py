@@ -3,10 +3,12 @@
 1. Exact copies are one text. The number of texts that hold each shingle gives the global order: rarest first, ties by
    name. A text of n shingles can only reach the threshold with one that shares one of its n - ceil(t n) + 1 first
    shingles in that order, so only those make candidates, and those that no other text holds make none.
-2. Candidates are held against each other where they can still join two components: first each with one leader, the one
-   it shares most rare shingles with; then all pairs of different components that share a rare shingle and whose sizes
-   allow the threshold. Texts of one component need no further comparison, so a group of near copies costs about a
-   comparison a text and not one a pair, and no link between two components is lost.
+2. Each candidate is measured against one leader, the text that shares most among those of its rare shingles. Texts that
+   links put in one component need no further comparison. Of texts of one leader in different components, the overlap is
+   at most what both share with the leader, plus the shingles that both have and the leader lacks; only pairs whose bound
+   reaches the threshold are measured, so a group of near copies costs about a comparison a text and not one a pair.
+   Texts of different leaders are measured if they share a rare shingle and their sizes allow it. No link between two
+   components is lost.
 3. A comparison cuts the shingles' order into fragments, counts the overlap of each fragment separately, and sums the
    counts per pair.
 """
@@ -89,16 +91,20 @@ def features(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     return blocks.classes, materialize(blocks.run(told, choose, "doc_id long, n long, rare array<long>, all array<long>"), "texts")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs a, b whose Jaccard similarity reaches the threshold: overlaps counted by fragment and summed."""
+def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b with sizes na, nb, the overlap o counted by fragment and summed, and more: the shingles of a that b lacks."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     some = texts.join(ids, "doc_id").select("doc_id", "n", F.expr(f"transform(sequence(0, {FRAGMENTS - 1}), f -> filter(`all`, s -> pmod(shiftrightunsigned(s, 40), {FRAGMENTS}) = f))").alias("parts"))
-    some = some.select("doc_id", "n", F.posexplode("parts").alias("fragment", "part"))
-    a = some.select(F.col("doc_id").alias("a"), "fragment", F.col("n").alias("na"), F.col("part").alias("pa"))
-    b = some.select(F.col("doc_id").alias("b"), "fragment", F.col("n").alias("nb"), F.col("part").alias("pb"))
-    counted = pairs.select("a", "b").join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("o"))
-    summed = counted.groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return summed.where(F.lit(100) * F.col("o") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+    a = some.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
+    b = some.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
+    counts = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)))
+    more = F.flatten(F.zip_with("pa", "pb", lambda x, y: F.array_except(x, y)))
+    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "na", "nb", F.aggregate(counts, F.lit(0), lambda t, x: t + x).alias("o"), more.alias("more"))
+
+
+def reaches(o: str, na: str, nb: str, percent: int) -> str:
+    """The threshold, for an overlap or a bound of it."""
+    return f"100 * ({o}) >= {percent} * ({na} + {nb} - ({o}))"
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -109,27 +115,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     ignored; an empty table gives an empty one.
     """
     classes, texts = features(docs, width, percent)
-    rare = materialize(texts.where("size(rare) > 0").select("doc_id", "n", F.explode("rare").alias("s")), "rare")
-    # One leader for each text: of the lowest texts for each of its rare shingles, the one that most of them name.
-    leaders = rare.groupBy("s").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("c"))
-    links = None
-    for name in ("b", "c"):
-        ballots = rare.join(leaders.select("s", F.col(name).alias("b")), "s").where("doc_id <> b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("votes"))
-        chosen = ballots.groupBy("a").agg(F.max_by("b", F.struct("votes", -F.col("b"))).alias("b"))
-        found = linked(chosen, texts, percent)
-        links = found if links is None else links.union(found)
-    links = materialize(links, "links")
+    held = texts.where("size(rare) > 0")
+    rare = held.select("doc_id", "n", (F.size("rare") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).alias("share"), F.explode("rare").alias("s"))
+    # The text that others were copied from shares all that it has; so of a shingle's texts the one that shares the most leads.
+    heads = rare.groupBy("s").agg(F.max(F.struct("share", -F.col("doc_id"))).alias("head"))
+    votes = rare.join(heads, "s").groupBy("doc_id", "head").agg(F.count("*").alias("votes"))
+    leaders = materialize(votes.groupBy("doc_id").agg((-F.max_by("head", F.struct("head.share", "votes", "head"))["col2"]).alias("leader")), "leaders")
+    told = materialize(measured(leaders.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")), texts), "told")
+    links = told.where(reaches("o", "na", "nb", percent)).select("a", "b")
     labels = components(links)
-    rest = rare.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    # Shingles that only one component holds can join nothing more.
-    open_ = rest.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
-    rest = materialize(rest.join(open_, "s"), "rest")
-    left, right = (rest.select("s", *(F.col(c).alias(c + k) for c in ("doc_id", "n", "component"))) for k in "12")
-    pairs = left.join(right, "s").where(f"component1 < component2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
-    pairs = materialize(pairs.select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).distinct(), "pairs")
-    more = materialize(linked(pairs, texts, percent), "more")
-    if more.limit(1).count():
-        labels = components(links.union(more))
+    place = (
+        leaders.join(held.select("doc_id", "n"), "doc_id")
+        .join(told.select(F.col("a").alias("doc_id"), F.col("o").alias("x"), "more"), "doc_id", "left")
+        .join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        .select("doc_id", "leader", "n", F.coalesce("x", F.col("n").cast("int")).alias("x"), F.coalesce("component", "doc_id").alias("component"), F.coalesce("more", F.array().cast("array<bigint>")).alias("more"))
+    )
+    place = materialize(place, "place")
+    # Leaders whose texts are all in one component have nothing left to join.
+    open_ = place.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leader")
+    group = materialize(place.join(open_, "leader"), "group")
+    side = lambda t, k: t.select(*(F.col(c).alias(c + k) if c not in ("leader", "s") else F.col(c) for c in t.columns))
+    apart = f"component1 < component2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
+    # Two texts of one leader overlap in what both share with it, and in what both have and it lacks.
+    bare = group.select("leader", "doc_id", "n", "x", "component")
+    near = side(bare, "1").join(side(bare, "2"), "leader").where(apart).where(reaches("least(x1, x2)", "n1", "n2", percent)).select("doc_id1", "doc_id2")
+    extra = group.select("leader", "doc_id", "n", "x", "component", F.explode("more").alias("s"))
+    shared = extra.groupBy("leader", "s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leader", "s")
+    extra = materialize(extra.join(shared, ["leader", "s"]), "extra")
+    both = side(extra, "1").join(side(extra, "2"), ["leader", "s"]).where(apart).groupBy("doc_id1", "doc_id2").agg(F.count("*").alias("c"), *(F.first(c).alias(c) for c in ("n1", "n2", "x1", "x2")))
+    both = both.where(reaches("least(x1, x2) + c", "n1", "n2", percent)).select("doc_id1", "doc_id2")
+    # Texts of different leaders: all that share a rare shingle.
+    other = rare.select("doc_id", "s").join(place.select("doc_id", "leader", "n", "component"), "doc_id")
+    mixed = other.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("leader").alias("l1"), F.max("leader").alias("l2")).where("lo < hi and l1 < l2").select("s")
+    other = materialize(other.join(mixed, "s").withColumnRenamed("leader", "lead"), "other")
+    cross = side(other, "1").join(side(other, "2"), "s").where(apart).where("lead1 <> lead2").select("doc_id1", "doc_id2")
+    pairs = near.union(both).union(cross).select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).distinct()
+    found = materialize(measured(materialize(pairs, "pairs"), texts).where(reaches("o", "na", "nb", percent)).select("a", "b"), "more")
+    if found.limit(1).count():
+        labels = components(links.union(found))
     return (
         classes.join(texts.select(F.col("doc_id").alias("rep"), "n"), "rep", "left")
         .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
