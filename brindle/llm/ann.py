@@ -3,7 +3,7 @@
 Equal vectors are one node. Nodes get one more dimension that gives all the same norm, in which the largest inner product
 is the nearest point. The graph starts from brute force within cells of random centres, in chunks of bounded size. Each
 round joins every node's neighbours, and those it is a neighbour of, with their vectors, and offers each pair of them to
-each other; a node keeps its ``k`` best. A search starts at a node's own neighbours and goes to the neighbours of the
+each other; a node keeps its ``k`` best. A search starts at a node's own neighbours and at a few common nodes, and goes to the neighbours of the
 best nodes found, until none of those is unvisited. Scores of the result are computed anew in double precision.
 """
 
@@ -32,6 +32,7 @@ class Descent:
     pool: int = 64  # nodes that a search keeps
     step: int = 8  # nodes that it visits at a time
     search_rounds: int = 8
+    entries: int = 12  # longest vectors, and others, that every search also begins at
     settled: float = 0.002  # share of new neighbours below which the rounds end
 
 
@@ -176,28 +177,33 @@ def search(queries: DataFrame, g: DataFrame, points: DataFrame, width: int, how:
     """Greedy search from each query's own node: q, b of the pool of each node in queries (q)."""
     vec = points.select(F.col("node").alias("b"), "vec")
     asked = materialize(queries.select("q").distinct().join(points.select(F.col("node").alias("q"), F.col("vec").alias("qvec")), "q"), "asked")
-    pool = asked.select("q", F.col("q").alias("b"), F.lit(1.0).cast("float").alias("s"), F.lit(1).alias("seen")).union(
-        g.join(asked.select(F.col("q").alias("a")), "a").select(F.col("a").alias("q"), "b", "s", F.lit(0).alias("seen"))
-    )
-    pool = materialize(pool, "pool")
 
     def score(batches) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
             if b.num_rows:
-                s = np.einsum("ij,ij->i", _matrix(b.column(2), width), _matrix(b.column(3), width))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.astype(np.float32))], ["q", "b", "s"])
+                x, y = _matrix(b.column(2), width)[:, :-1], _matrix(b.column(3), width)[:, :-1]  # without the dimension that was added
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.einsum("ij,ij->i", x, y).astype(np.float32))], ["q", "b", "s"])
+
+    def scores(pairs: DataFrame) -> DataFrame:
+        return pairs.join(vec, "b").join(asked, "q").select("q", "b", "vec", "qvec").mapInArrow(score, "q long, b long, s float").withColumn("seen", F.lit(0))
+
+    # Every search also begins at the longest vectors and at some others, how.entries of each.
+    length = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x * x)
+    common = points.orderBy(F.desc(length), "node").limit(how.entries).select("node").union(points.orderBy(F.xxhash64("node")).limit(how.entries).select("node")).collect()
+    own = asked.select("q", F.col("q").alias("b")).union(g.join(asked.select(F.col("q").alias("a")), "a").select(F.col("a").alias("q"), "b"))
+    first = own.union(asked.select("q", F.explode(F.array(*(F.lit(r["node"]).cast("long") for r in common))).alias("b"))).distinct()
+    pool = materialize(scores(first), "pool")
 
     for _ in range(how.search_rounds):
-        # The graph's similarity is that of the last dimension too; for ranking a query's candidates it may stay.
         near = pool.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "b")))
         ahead = near.where(F.col("_r") <= how.pool // 2).where("seen = 0").withColumn("_e", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "b"))).where(F.col("_e") <= how.step)
         ahead = materialize(ahead.select("q", F.col("b").alias("a")), "ahead")
         if not ahead.limit(1).count():
             break
         offered = ahead.join(g, "a").select("q", "b").distinct().join(pool.select("q", "b"), ["q", "b"], "left_anti")
-        scored = offered.join(vec, "b").join(asked, "q").select("q", "b", "vec", "qvec").mapInArrow(score, "q long, b long, s float").withColumn("seen", F.lit(0))
+        scored = scores(offered)
         old = pool.join(ahead.select("q", F.col("a").alias("b"), F.lit(1).alias("_now")), ["q", "b"], "left").select("q", "b", "s", F.coalesce("_now", "seen").alias("seen"))
         every = old.unionByName(scored).withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "b")))
         pool = materialize(every.where(F.col("_r") <= how.pool).drop("_r"), "pool")

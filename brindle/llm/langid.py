@@ -73,9 +73,9 @@ class Model:
     limits: np.ndarray  # lowest similarity by language and length class
 
 
-def held_out(doc_id: Column = F.col("doc_id")) -> Column:
+def held_out() -> Column:
     """Every fourth document by checksum is kept from training."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def train(rows: DataFrame) -> Model | None:

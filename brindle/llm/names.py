@@ -18,22 +18,25 @@ from pyspark.sql import functions as F
 from brindle.llm.common import materialize
 from brindle.llm.tokenbin import get, put
 
-BLOCK_BYTES = 12 << 20  # of text in a block; a longer text is a block's only large one
+# Text in a block: as many blocks as a block sends names to a bucket, within bounds; a longer text is a block's only large one.
+LEAST_BYTES, MOST_BYTES = 4 << 20, 64 << 20
 NOTE = "_block int, _kind int, _bucket int, _blob binary"
 
 
 class Blocks:
-    """The distinct texts of docs by block. text_of is the class: rows of doc_id and rep, the lowest doc_id of its text."""
+    """The distinct texts of docs by block, and classes: doc_id, rep (the lowest doc_id of its text), n_bytes, short (texts below short_bytes)."""
 
-    def __init__(self, docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> None:
+    def __init__(self, docs: DataFrame, block_bytes: int | None = None, short_bytes: int = 0) -> None:
         docs = docs.select("doc_id", "text").where("doc_id is not null")
         size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-        self.n = max(1, math.ceil(size / block_bytes))
+        self.n = max(1, math.ceil(size / (block_bytes or min(MOST_BYTES, max(LEAST_BYTES, 140 * math.isqrt(size))))))
         # Wide enough for names to be told apart as well at any size of the corpus.
         self.bits = min(56, max(36, math.ceil(math.log2(size + 2)) + 10))
-        keyed = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_digest"))
+        text = F.coalesce("text", F.lit(""))
+        size_of = F.octet_length(text).cast("long")
+        keyed = docs.select("doc_id", F.sha2(text, 256).alias("_digest"), size_of.alias("n_bytes"), F.when(size_of < short_bytes, text.cast("binary")).alias("short"))
         first = keyed.groupBy("_digest").agg(F.min("doc_id").alias("rep"))
-        self.classes = materialize(keyed.join(first, "_digest").select("doc_id", "rep"), "classes")
+        self.classes = materialize(keyed.join(first, "_digest").select("doc_id", "rep", "n_bytes", "short"), "classes")
         self.docs = docs.withColumn("_block", self.block("doc_id"))
         reps = self.classes.select(F.col("rep").alias("doc_id")).distinct().withColumn("_block", self.block("doc_id"))
         self.reps = reps.select("_block", F.lit(0).alias("_kind"), F.lit(0).alias("_bucket"), F.to_binary(F.lpad(F.hex("doc_id"), 16, "0"), F.lit("hex")).alias("_blob"))

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from brindle.llm.common import materialize, partitions, slices
 from brindle.llm.tok import encode
@@ -98,9 +99,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     spark = pieces.sparkSession
     salts = partitions(spark)
-    keys = [c for c in pieces.columns if c != "length"]
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64(*keys) if keys else F.monotonically_increasing_id(), F.lit(salts)))
-    pieces = materialize(pieces, "pieces")
+    order = pieces.columns
+    others = [c for c in order if c not in ("length", "sequence_id", "offset")]
+    # The other columns go in one, so that no name of theirs can clash with ours.
+    pieces = pieces.select(F.col("length").cast("long").alias("length"), F.struct(*(F.col(f"`{c}`") for c in others) if others else (F.lit(0).alias("none"),)).alias("_piece"))
+    pieces = materialize(pieces.withColumn("_salt", F.pmod(F.xxhash64("_piece"), F.lit(salts))), "pieces")
     groups = pieces.groupBy("length", "_salt").agg(F.count("*").alias("n"))
     counts = np.zeros(capacity + 1, np.int64)
     for row in groups.groupBy("length").agg(F.sum("n").alias("n")).collect():  # one row per length: capacity bounds them
@@ -136,7 +139,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     # Rank within a length: the ranks of the salted groups before, and the rank in the group.
     before = groups.withColumn("_before", F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))).drop("n")
-    ranked = pieces.withColumn("_in", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*keys)) - 1)
+    ranked = pieces.withColumn("_in", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_piece")) - 1)
     ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", F.coalesce("_before", F.lit(0)) + F.col("_in")).select(*pieces.drop("_salt").columns, "_rank")
-    schema = pieces.drop("_salt").schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(place, schema)
+    schema = StructType([*pieces.drop("_salt").schema.fields]).add("sequence_id", "long").add("offset", "long")
+    placed = ranked.mapInArrow(place, schema)
+    return placed.select(*(F.col("length" if c == "length" else f"_piece.`{c}`") for c in order if c not in ("sequence_id", "offset")), "sequence_id", "offset")

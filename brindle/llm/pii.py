@@ -142,11 +142,17 @@ def find(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
 
     A null text is empty. Rows are taken as they come, repeated ones each for itself; no rows give no rows.
     """
-    kept = [c for c in docs.columns if c != "text"]
-    found = materialize(scan(docs.withColumn("_row", F.monotonically_increasing_id())).drop("text"), "found")
+    found = materialize(scan(_apart(docs)).drop("text"), "found")
+    kept = [f"_doc.`{c}`" for c in docs.columns if c not in ("text", "spans")]
     return _with_spans(found, discover(found, how)).select(*kept, "spans")
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """The text, a number for each row, and the other columns in one, so that no name of theirs can clash with ours."""
+    others = [c for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in others) if others else (F.lit(0).alias("none"),)).alias("_doc"), "text").withColumn("_row", F.monotonically_increasing_id())
+
+
 def _with_spans(found: DataFrame, patterns: DataFrame) -> DataFrame:
     more = found.select("_row", F.explode("_other").alias("x")).join(patterns.select(F.col("context").alias("_c"), F.col("kind").alias("_k")), F.col("x.context") == F.col("_c"))
     more = more.where(fits(F.col("_k"), F.col("x.value"))).groupBy("_row").agg(F.collect_set(F.struct(F.col("_k").alias("kind"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))).alias("_more"))
@@ -161,8 +167,7 @@ def redact(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
 
     A null text stays null. Columns and rows are those of docs.
     """
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    held = materialize(scan(keyed), "held")
+    held = materialize(scan(_apart(docs)), "held")
     spans = _with_spans(held.drop("text").select("_row", "_base", "_other"), discover(held, how)).where("size(spans) > 0").select("_row", "spans")
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
@@ -173,7 +178,7 @@ def redact(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], new).otherwise(state["out"]).alias("out"))
 
     text = F.aggregate(by_place, zero, step, lambda s: F.concat(s["out"], F.substr("text", (s["at"] + 1).cast("int"), F.length("text"))))
-    return held.join(spans, "_row", "left").withColumn("text", F.when(F.col("spans").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)
+    return held.join(spans, "_row", "left").withColumn("text", F.when(F.col("spans").isNotNull(), text).otherwise(F.col("text"))).select(*(F.col("text" if c == "text" else f"_doc.`{c}`") for c in docs.columns))
 
 
 def summary(found: DataFrame) -> DataFrame:

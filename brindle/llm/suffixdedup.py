@@ -33,16 +33,18 @@ _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 def doubled(data: np.ndarray, lengths: tuple[int, ...]) -> dict[int, np.ndarray]:
     """Names of the strings of each length at every position, by doubling; a position near the end has none."""
     out: dict[int, np.ndarray] = {}
+    needed = {1 << (length.bit_length() - 1) for length in lengths}
     name, k = BYTE[data], 1
-    powers = {1: name}
-    while 2 * k <= max(lengths) and len(name) > k:
+    powers = {1: name} if 1 in needed else {}
+    while 2 * k <= max(needed) and len(name) > k:
         name = name[:-k] * (_ODD + np.uint64(2 * k)) + (name[k:] ^ (name[k:] >> np.uint64(29)))
         k *= 2
-        powers[k] = name
+        if k in needed:
+            powers[k] = name
     for length in lengths:
-        k = max(x for x in powers if x <= length)
+        k = 1 << (length.bit_length() - 1)
         n = len(data) - length + 1
-        if n <= 0 or (k != length and k * 2 < length):
+        if n <= 0:
             out[length] = np.zeros(0, np.uint64)
         else:
             out[length] = mix(powers[k][:n] * (_ODD + np.uint64(length)) + powers[k][length - k : length - k + n] * np.uint64(0x165667B19E3779F9))
@@ -87,7 +89,7 @@ def anchors(data: np.ndarray, texts: np.ndarray, length: int, anchor: int) -> tu
 
 def _pieces(table, length: int, anchor: int):
     """Slices of a block with their anchors: doc_ids, bytes, text starts, and what anchors() gives."""
-    for b in N.batches_of(table):
+    for b in N.batches_of(table, 1 << 20):
         data, texts = joined(b.column(1))
         yield b.column(0).to_numpy(zero_copy_only=False), data, texts, *anchors(data, texts, length, anchor)
 
@@ -99,7 +101,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     Null texts are empty. Rows with one doc_id are one document if their texts agree. Rows without a doc_id are left out,
     other columns ignored; an empty table gives an empty one.
     """
-    blocks = N.Blocks(docs)
+    blocks = N.Blocks(docs, short_bytes=length)
     n, bits = blocks.n, blocks.bits
     shift = np.uint64(64 - bits)
 
@@ -241,11 +243,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     ranked = blocks.run(told, spread, N.NOTE).groupBy("_bucket").applyInArrow(rank_windows, N.NOTE)
     first = blocks.run(told.unionByName(ranked), mark, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     # A later copy of a text goes as a whole if it is long enough, and else stays.
-    later = blocks.docs.join(blocks.classes.where("doc_id > rep").select("doc_id").distinct(), "doc_id").select(
-        "doc_id",
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        F.expr(f"CASE WHEN octet_length(text) >= {length} THEN array(struct(0L AS start, cast(octet_length(text) AS bigint) AS end)) ELSE array() END").cast("array<struct<start: bigint, end: bigint>>").alias("spans"),
-        F.expr(f"CASE WHEN octet_length(text) >= {length} THEN X'' ELSE cast(coalesce(text, '') AS binary) END").alias("kept"),
+    kind = "array<struct<start: bigint, end: bigint>>"
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    later = blocks.classes.where("doc_id > rep").select(
+        "doc_id", "n_bytes", F.when(F.col("n_bytes") >= length, whole).otherwise(F.array().cast(kind)).cast(kind).alias("spans"), F.coalesce("short", F.lit(b"")).alias("kept")
     )
     return first.unionByName(later)
 
