@@ -9,13 +9,13 @@ from pyspark.sql.types import StructType
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """path, pos, line of each file read whole, so that pos is the place in its file. For files that fit one task."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.regexp_replace(F.regexp_replace("value", r"\r\n?", "\n"), r"\n\z", "").alias("value"))
+    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(F.regexp_replace("value", r"\r\n?", "\n"), r"\n\z", "").alias("value"))
     return whole.select("path", F.posexplode(F.split("value", "\n")).alias("pos", "line")).select("path", F.col("pos").cast("bigint").alias("pos"), "line")
 
 
 def contents(spark: SparkSession, path: str) -> DataFrame:
     """path, content: the second channel of a read."""
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), "content")
 
 
 def rules(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
