@@ -1,0 +1,15 @@
+"""Arrays as rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def places(array: Column, place: str, value: str) -> Column:
+    """A generator of structs of an element's place (bigint, from 0) and the element.
+
+    ``posexplode`` over ``split`` of a column numbered every row 0 with the Spark at hand; a place that is part of the
+    element cannot go wrong.
+    """
+    return F.explode(F.transform(array, lambda x, i: F.struct(i.cast("bigint").alias(place), x.alias(value))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.arrays import places
+
 # Envelope codes and names.
 ENVELOPES = (("A", "生活"), ("B", "学习"), ("C", "储值"), ("D", "消费"))
 MONEY = "decimal(18,2)"
@@ -22,8 +24,8 @@ def route(commands: DataFrame) -> DataFrame:
     A line may begin with ``money`` or ``money:``; a word ``删除`` (or ``delete``) before entries makes them deletions.
     """
     text = F.regexp_replace(F.trim("text"), r"^money:?\s*", "")
-    word = F.posexplode(F.split(text, r"\s+")).alias("place", "token")
-    t = commands.select("seq", text.rlike(r"^(删除|删|delete)").alias("_delete"), word).where("token <> ''")
+    word = places(F.split(text, r"\s+"), "place", "token").alias("_x")
+    t = commands.select("seq", text.rlike(r"^(删除|删|delete)").alias("_delete"), word).select("seq", "_delete", "_x.*").where("token <> ''")
     t = t.where(~F.col("token").isin("删除", "删", "delete"))
     bare = F.regexp_replace("token", r"^(删除|delete)", "")
     total, post = F.col("token").rlike(TOTAL), bare.rlike(POST)

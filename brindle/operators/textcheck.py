@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions.arrays import places
+
 NODE = r"B[0-9]+(?:-[0-9]+)+"
 # Opening signs of the four kinds of marked words, and colours that texts must not have.
 MARKERS = ("「", "<", "{", "（")
@@ -14,9 +16,9 @@ FORBIDDEN = r"(?i)(#000(?:000)?|#fff(?:fff)?|#([0-9a-f]{2})\2\2|#([0-9a-f])\3\3|
 def blocks(docs: DataFrame) -> DataFrame:
     """Markdown units of texts: doc_id, pos, kind (heading, list, table, code, paragraph), level, text. Code fences hold as one."""
     fenced = F.split("text", r"(?m)^```[^\n]*$")
-    outer = docs.select("doc_id", F.posexplode(fenced).alias("part", "chunk"))
-    code = outer.where("part % 2 = 1").select("doc_id", "part", F.lit(0).alias("line"), F.lit("code").alias("kind"), F.lit(0).alias("level"), F.trim(F.regexp_replace("chunk", r"^\n|\n$", "")).alias("text"))
-    lines = outer.where("part % 2 = 0").select("doc_id", "part", F.posexplode(F.split("chunk", "\n")).alias("line", "text")).where("trim(text) <> ''")
+    outer = docs.select("doc_id", places(fenced, "part", "chunk").alias("_x")).select("doc_id", "_x.*")
+    code = outer.where("part % 2 = 1").select("doc_id", "part", F.lit(0).cast("bigint").alias("line"), F.lit("code").alias("kind"), F.lit(0).alias("level"), F.trim(F.regexp_replace("chunk", r"^\n|\n$", "")).alias("text"))
+    lines = outer.where("part % 2 = 0").select("doc_id", "part", places(F.split("chunk", "\n"), "line", "text").alias("_x")).select("doc_id", "part", "_x.*").where("trim(text) <> ''")
     mark = F.regexp_extract("text", r"^(#{1,6})\s", 1)
     kind = F.when(mark != "", "heading").when(F.col("text").rlike(r"^\s*([-*+]|[0-9]+[.)])\s"), "list").when(F.col("text").rlike(r"^\s*\|"), "table").otherwise("paragraph")
     return lines.select("doc_id", "part", "line", kind.alias("kind"), F.length(mark).alias("level"), F.trim(F.regexp_replace("text", r"^#{1,6}\s+", "")).alias("text")).unionByName(code).withColumn("pos", F.struct("part", "line")).drop("part", "line")

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.functions.arrays import places
+
 
 def throttle(events: DataFrame, keys: list[str], ts: str, seconds: float) -> DataFrame:
     """Of each key's events those accepted: the first, and each that comes so long after the last accepted one.
@@ -70,7 +72,7 @@ def watch(spark: SparkSession, folder: str, recompute: Callable[[DataFrame, int]
             return
         on_state("regenerating")
         try:
-            recompute(latest.select(F.posexplode(F.split("value", "\n")).alias("pos", "line")), number)
+            recompute(latest.select(places(F.split("value", "\n"), "pos", "line").alias("_x")).select("_x.*"), number)
         except Exception:
             on_state("error")
             raise
