@@ -11,7 +11,7 @@ from brindle.functions.arrays import places
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """path, pos, line of each file read whole, so that pos is the place in its file. For files that fit one task."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(F.regexp_replace("value", r"\r\n?", "\n"), r"\n\z", "").alias("value"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(F.regexp_replace("value", r"\r\n?", "\n"), r"\n\z", "").alias("value"))
     return whole.select("path", places(F.split("value", "\n"), "pos", "line").alias("_x")).select("path", "_x.*")
 
 
