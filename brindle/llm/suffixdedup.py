@@ -84,7 +84,8 @@ def anchors(data: np.ndarray, texts: np.ndarray, length: int, anchor: int) -> tu
         first, last = np.concatenate(f), np.concatenate(l)
         order = np.argsort(first, kind="stable")
         first, last = first[order], last[order]
-    return number[first], low[first], first, last
+    # A least value is a small one; mixed again, the ranks spread evenly over the buckets.
+    return number[first], mix(low[first]), first, last
 
 
 def _pieces(table, length: int, anchor: int):
