@@ -9,6 +9,7 @@ best nodes found, until none of those is unvisited. Scores of the result are com
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,16 +23,16 @@ from brindle.llm.common import materialize
 
 @dataclass(frozen=True)
 class Descent:
-    k: int = 24  # neighbours that a node keeps
-    sample: int = 24  # neighbours and reverse neighbours that a node introduces to each other in a round
-    rounds: int = 5
-    cells: int = 2  # times that the nodes are dealt to cells for the start
+    k: int = 28  # neighbours that a node keeps
+    sample: int = 40  # neighbours and reverse neighbours that a node introduces to each other in a round
+    rounds: int = 7
+    cells: int = 4  # times that the nodes are dealt to cells for the start
     cell_nodes: int = 200  # nodes of a cell on average
     centres: int = 2048  # at most
     chunk: int = 512  # nodes that are held against each other in a cell
-    pool: int = 64  # nodes that a search keeps
-    step: int = 8  # nodes that it visits at a time
-    search_rounds: int = 8
+    pool: int = 192  # nodes that a search keeps
+    step: int = 24  # nodes that it visits at a time
+    search_rounds: int = 9
     entries: int = 12  # longest vectors, and others, that every search also begins at
     settled: float = 0.002  # share of new neighbours below which the rounds end
 
@@ -51,12 +52,12 @@ def _matrix(column, width: int) -> np.ndarray:
 
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if pa.types.is_binary(column.type):
-        return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, width)
+        return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
 def nodes(v: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Distinct vectors (node, vec: float32 with one more dimension; embedding), members (node, vec_id), and the width."""
+    """Distinct vectors (node, vec: float16 with one more dimension; embedding), members (node, vec_id), and the width."""
     members = v.select("vec_id", "embedding")
     first = members.groupBy("embedding").agg(F.min("vec_id").alias("node"))
     squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
@@ -70,12 +71,18 @@ def nodes(v: DataFrame) -> tuple[DataFrame, DataFrame, int]:
             if b.num_rows:
                 x = _matrix(b.column(1), width - 1)
                 more = np.sqrt(np.maximum(0.0, most - (x * x).sum(1)))[:, None]
-                y = (np.concatenate([x, more], 1) / math.sqrt(most)).astype(np.float32)
+                y = (np.concatenate([x, more], 1) / math.sqrt(most)).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in y], pa.binary()), b.column(1)], ["node", "vec", "embedding"])
 
     return materialize(first.select("node", "embedding").mapInArrow(widen, "node long, vec binary, embedding array<double>"), "nodes"), members.join(first, "embedding").select("node", "vec_id"), width
 
 
+def release(spark) -> None:
+    """Let Spark drop the shuffle files of rounds that are written and done with."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 PAIRS = "a long, b long, s float"
 
 
@@ -92,7 +99,7 @@ def start(points: DataFrame, width: int, count: int, how: Descent) -> DataFrame:
     found = None
     for t in range(how.cells):
         some = points.orderBy(F.xxhash64("node", F.lit(t))).limit(cells).select("vec").toPandas()["vec"]  # how.centres rows at most
-        centres = np.stack([np.frombuffer(x, np.float32) for x in some])
+        centres = np.stack([np.frombuffer(x, np.float16).astype(np.float32) for x in some])
         share = float(cells) * how.chunk / max(1, count)
 
         def deal(batches, centres=centres) -> Iterator:
@@ -168,6 +175,8 @@ def graph(points: DataFrame, width: int, how: Descent = Descent()) -> DataFrame:
         # All of the present neighbours have now met, but for those that were not drawn.
         met = g.join(drawn.select("a", "b", F.lit(0).alias("_met")), ["a", "b"], "left").select("a", "b", "s", F.coalesce("_met", "new").alias("new"))
         g = materialize(_best(met.unionByName(offers.withColumn("new", F.lit(1))), how.k), "graph")
+        del worst, held, both, drawn, lists, offers, met
+        release(points.sparkSession)
         if g.where("new = 1").count() < how.settled * how.k * count:
             break
     return g.select("a", "b", "s")
