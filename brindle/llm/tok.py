@@ -17,6 +17,7 @@ from brindle.llm.common import process_cache
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 # A word of plain letters, perhaps with one sign behind it.
 WORD = re.compile(r"([\0\n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+PLAIN = re.compile(r"\0?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 CACHE_ENTRIES = 500_000  # of each of two generations
 
 
@@ -46,13 +47,31 @@ def _plain(key: str) -> bool:
     return body.split() == [body] and "\0" not in body and "\1" not in body
 
 
+# How byte-level tokenizers write bytes: printable ones as themselves, the others by turns from 256.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+PROBES = ("the", "Éa", "ßü", "McX", "zqxj", "l", "t", "À")
+
+
 class Cache:
     def __init__(self, path: str) -> None:
         self.tokenizer = load(path)
+        # Plain words can go to the library's model at once, if one of the two known ways to write them proves right.
+        ways = ((BYTES[32], str), ("", str.lower))
+        right = [w for w in ways if all(self._word(x, w) == y for p in PROBES for x, y in zip((p, "\0" + p), self._ids([" " + p, p])))]
+        self.way = right[0] if right else None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.signs = dict(zip(("", "\n", ".", ","), self._ids(["", "\n", ".", ","])))
 
+    def _word(self, key: str, way) -> bytes:
+        blank, case = way
+        word = key[1:] if key[0] == "\0" else key
+        written = case(word)
+        if not written.isascii():
+            written = written.encode().decode("latin-1").translate(BYTES)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(written if key[0] == "\0" else blank + written)]).tobytes()
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -76,6 +95,10 @@ class Cache:
                         other.add(word)
             else:
                 other.add(k)
+        if self.way:
+            plain = {k for k in other if PLAIN.fullmatch(k)}
+            young.update((k, self._word(k, self.way)) for k in plain)
+            other -= plain
         names = list(other)
         for at in range(0, len(names), 20_000):
             some = names[at : at + 20_000]
