@@ -20,7 +20,32 @@ def score(templates: DataFrame, answers: DataFrame, keywords: dict[str, list[str
     templates: id, categories, difficulty, popularity, is_common, description, best_for, team_lo, team_hi.
     answers: request, scenario, multi_scenario, difficulty_preference, team_context, specific_need.
     """
-    pairs = answers.crossJoin(F.broadcast(templates))
+    return _scored(answers.crossJoin(F.broadcast(templates)), keywords)
+
+
+def by_class(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes (answers of score(), request being a struct of all that counts) and members (request, class). Equal answers score alike."""
+    members = answers.select("request", F.struct(*(c for c in answers.columns if c != "request")).alias("class"))
+    classes = members.select("class").distinct()
+    return classes.select(F.col("class").alias("request"), "class.*"), members
+
+
+def nominees(templates: DataFrame, classes: DataFrame, keywords: dict[str, list[str]], k: int = 3) -> DataFrame:
+    """The k best of all templates for each class and first category, which are enough for top(), diverse() and low_match().
+
+    Any number of templates is scored, once a class; classes is the small side.
+    """
+    w = Window.partitionBy("request", F.element_at("categories", 1)).orderBy(F.desc("score"), F.desc("is_common"), "id")
+    scored = _scored(templates.crossJoin(F.broadcast(classes)), keywords)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
+
+
+def of_members(chosen: DataFrame, members: DataFrame) -> DataFrame:
+    """What was chosen for each class, for each request of the class."""
+    return members.join(F.broadcast(chosen.withColumnRenamed("request", "class")), "class").drop("class")
+
+
+def _scored(pairs: DataFrame, keywords: dict[str, list[str]]) -> DataFrame:
     scenario = F.array_contains("categories", F.col("scenario")) | ((F.col("scenario") == "multiple") & F.arrays_overlap("categories", "multi_scenario"))
     preference = F.col("difficulty_preference")
     in_range = F.col("difficulty").between(_bounds(DIFFICULTY, preference, 0), _bounds(DIFFICULTY, preference, 1))

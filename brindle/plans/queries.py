@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import bands
 from brindle.operators import evalmetrics, ledger, quality, recommend, router, scorecard, tasks, textcheck
-from brindle.plans.registry import query, table
+from brindle.plans.registry import ORACLE_SQL, query, table
 from brindle.streaming import watch
 
 AS_OF = "1998-06-15 20:30:00"
@@ -186,10 +186,10 @@ _CATS = ("planning", "analysis", "communication", "meeting", "sales")
 _NEEDS = {"root": ["k0", "k3"], "decide": ["k1"], "plan": ["k2", "k5"]}
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
     p, c = F.col("p_partkey"), F.col("c_custkey")
-    templates = table(spark, sf_dir, "part").where("p_partkey < 45").select(
+    templates = table(spark, sf_dir, "part").select(
         p.alias("id"), F.array(pick(_CATS, p), pick(_CATS, p % 3)).alias("categories"), (p % 10 + 1).alias("difficulty"), (p % 8 + 3).alias("popularity"), (p % 11 == 0).alias("is_common"),
         F.col("p_name").alias("description"), F.array(F.concat(F.lit("k"), (p % 6).cast("string"))).alias("best_for"), (p % 5 + 1).alias("team_lo"), (p % 5 + 4).alias("team_hi"),
     )
@@ -197,7 +197,12 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         c.alias("request"), pick((*_CATS, "multiple"), c).alias("scenario"), F.array(F.lit("sales"), F.lit("meeting")).alias("multi_scenario"),
         pick(("simple", "moderate", "complex", "any"), c).alias("difficulty_preference"), pick(("solo", "small", "medium", "large"), c % 3).alias("team_context"), pick((*_NEEDS, "other"), c).alias("specific_need"),
     )
-    return recommend.score(templates, answers, _NEEDS)
+    return templates, answers
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates, answers = _sides(spark, sf_dir)
+    return recommend.score(templates.where("id < 45"), answers, _NEEDS)
 
 
 _SCORED = """WITH t AS (SELECT p_partkey AS id, ['planning','analysis','communication','meeting','sales'][p_partkey % 5 + 1] AS c1, ['planning','analysis','communication','meeting','sales'][p_partkey % 3 + 1] AS c2, p_partkey % 10 + 1 AS difficulty, p_partkey % 8 + 3 AS popularity, p_partkey % 11 = 0 AS is_common, p_name AS description, 'k' || (p_partkey % 6) AS bf, p_partkey % 5 + 1 AS lo, p_partkey % 5 + 4 AS hi FROM part WHERE p_partkey < 45),
@@ -225,6 +230,25 @@ def q_recommend_low(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.low_match(_scored(spark, sf_dir), 8.0)
 
 
+# The three over all parts; the SQL of those above is of the first 44.
+def _recommend_all(choose):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        templates, answers = _sides(spark, sf_dir)
+        classes, members = recommend.by_class(answers)
+        return recommend.of_members(choose(recommend.nominees(templates, classes, _NEEDS)), members)
+
+    return run
+
+
+_RANKED = ("request", "rank", "id", "score")
+for _name, _choose in (
+    ("q_recommend_top3", lambda s: recommend.top(s).select(*_RANKED)),
+    ("q_recommend_diverse", lambda s: recommend.diverse(s).select(*_RANKED)),
+    ("q_recommend_low", lambda s: recommend.low_match(s, 8.0)),
+):
+    query(f"{_name}_all", ORACLE_SQL[_name].replace(" WHERE p_partkey < 45", ""))(_recommend_all(_choose))
+
+
 @query("q_audit_dashboard", """WITH s AS (SELECT l_suppkey % 20 AS audit, l_linenumber AS element, least(5 + l_orderkey % 6, 5 + l_partkey % 6) AS rigor, 5 + l_orderkey % 6 < 9 OR 5 + l_partkey % 6 < 9 AS red FROM lineitem),
  e AS (SELECT audit, element, avg(rigor) AS m FROM s GROUP BY 1, 2) SELECT audit, round(avg(CASE WHEN NOT red AND rigor >= 8 THEN 1 ELSE 0 END), 6) AS pass_rate, count(*) FILTER (red) AS red, count(*) FILTER (rigor < 8) AS yellow, (SELECT arg_min(element, (m, element)) FROM e WHERE e.audit = s.audit) AS weakest FROM s GROUP BY audit""")
 def q_audit_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:

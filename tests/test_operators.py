@@ -204,3 +204,20 @@ def test_evalmetrics(spark):
     assert {x["level"]: x["gate_ok"] for x in evalmetrics.layered_gate(r).collect()} == {"L1": True, "L3": False}
     same = spark.createDataFrame([(1, 1), (0, 0)], "a int, b int")
     assert evalmetrics.kappa(same, "a", "b").first()[0] == 1.0
+
+
+def test_all_templates_by_class(spark):
+    """The best template comes last by id; answers with a null and repeated ones are served too."""
+    rows = [(i, ["planning" if i % 3 else "sales", "sales"], i % 10 + 1, i % 8, False, "", ["k"], 1, 9) for i in range(1, 200)] + [(200, ["planning", "sales"], 3, 30, True, "", ["k"], 1, 9)]
+    templates = spark.createDataFrame(rows, "id int, categories array<string>, difficulty int, popularity int, is_common boolean, description string, best_for array<string>, team_lo int, team_hi int")
+    answers = spark.createDataFrame([(1, "planning", ["sales"], "simple", "solo", "a"), (2, "planning", ["sales"], "simple", "solo", "a"), (3, "multiple", ["sales"], None, "solo", "b")], "request int, scenario string, multi_scenario array<string>, difficulty_preference string, team_context string, specific_need string")
+    needs = {"a": ["k"]}
+    classes, members = recommend.by_class(answers)
+    assert classes.count() == 2
+    some, each = recommend.nominees(templates, classes, needs), recommend.score(templates, answers, needs)
+    for choose in (recommend.top, recommend.diverse):
+        plain = lambda d: sorted((r["request"], r["rank"], r["id"], r["score"]) for r in d.collect())
+        got = plain(recommend.of_members(choose(some), members))
+        assert got == plain(choose(each)) and len(got) == 9 and {r[2] for r in got if r[1] == 1} == {200}
+    low = lambda d: sorted((r["request"], r["best"]) for r in d.collect())
+    assert low(recommend.of_members(recommend.low_match(some, 99.0), members)) == low(recommend.low_match(each, 99.0))
