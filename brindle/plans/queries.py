@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,14 +27,18 @@ BAND_SQL = """CASE WHEN s <= 0 THEN 'expired' WHEN s/3600 < 4 THEN 'critical' WH
  WHEN s/86400 > 4 AND s/86400 <= 7 THEN 'A' WHEN s/86400/7 > 9 AND s/86400/7 <= 12 THEN 'A' ELSE 'out' END"""
 
 
+def all_orders_as_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.timestamp_add("SECOND", F.lit(86399), F.col("o_orderdate")).alias("deadline"))
+
+
 def orders_as_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.timestamp_add("SECOND", F.lit(86399), F.col("o_orderdate")).alias("deadline"))
-    return o.where(F.col("deadline").between(F.timestamp_add("DAY", F.lit(-2), moment(AS_OF)), F.timestamp_add("DAY", F.lit(84), moment(AS_OF))))
+    return all_orders_as_tasks(spark, sf_dir).where(F.col("deadline").between(F.timestamp_add("DAY", F.lit(-2), moment(AS_OF)), F.timestamp_add("DAY", F.lit(84), moment(AS_OF))))
 
 
 ORDERS_SQL = f"""SELECT o_orderkey, o_custkey, deadline, date_diff('microsecond', TIMESTAMP '{AS_OF}', deadline)/1e6 AS s
  FROM (SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL 86399 SECOND AS deadline FROM orders)
  WHERE deadline BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 2 DAY AND TIMESTAMP '{AS_OF}' + INTERVAL 84 DAY"""
+ALL_ORDERS_SQL = ORDERS_SQL.partition("\n WHERE deadline")[0]
 
 
 @query("q_task_band", f"""WITH t AS (SELECT date_diff('microsecond', TIMESTAMP '{AS_OF}', l_shipdate + INTERVAL 86399 SECOND)/1e6 AS s FROM lineitem)
@@ -68,32 +73,32 @@ SELECT o_orderkey, category, {_DURING} AS during_str, {_MD.format('deadline')} A
  CASE WHEN total IS NULL OR n2 <= 0 THEN NULL WHEN d >= 2 THEN {_MD.format('t2')} WHEN CAST(t2 AS DATE) = DATE '{AS_OF[:10]}' THEN strftime(t2, '%H:%M') ELSE {_MD.format('t2')} || ' ' || strftime(t2, '%H:%M') END AS node2_date,
  '√' || total || CASE WHEN abs(sqrt(total) - n1) < 0.001 THEN ' = ' ELSE ' ≈ ' END || n1 || unit AS node1_formula,
  CASE WHEN n2 > 0 THEN '√' || rest || CASE WHEN abs(sqrt(rest) - n2) < 0.001 THEN ' = ' ELSE ' ≈ ' END || n2 || unit END AS node2_formula FROM x""")
-def q_task_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tasks.derive(orders_as_tasks(spark, sf_dir), moment(AS_OF))
+def q_task_cards(spark: SparkSession, sf_dir: str, orders=orders_as_tasks) -> DataFrame:
+    found = tasks.derive(orders(spark, sf_dir), moment(AS_OF))
     return found.select("o_orderkey", "category", "during_str", "ddl_short", F.round("progress", 6).alias("progress"), "node1_date", "node2_date", "node1_formula", "node2_formula")
 
 
 @query("q_task_next", f"""WITH t AS ({ORDERS_SQL}) SELECT o_custkey, o_orderkey, s AS during_seconds FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY s, o_orderkey) AS r FROM t WHERE s > 0) WHERE r = 1""")
-def q_task_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = orders_as_tasks(spark, sf_dir).withColumn("during_seconds", bands.remaining_seconds(moment(AS_OF), F.col("deadline"))).where("during_seconds > 0")
+def q_task_next(spark: SparkSession, sf_dir: str, orders=orders_as_tasks) -> DataFrame:
+    t = orders(spark, sf_dir).withColumn("during_seconds", bands.remaining_seconds(moment(AS_OF), F.col("deadline"))).where("during_seconds > 0")
     return t.groupBy("o_custkey").agg(F.min(F.struct("during_seconds", "o_orderkey")).alias("x")).select("o_custkey", "x.o_orderkey", "x.during_seconds")
 
 
 @query("q_task_top10", f"""WITH t AS ({ORDERS_SQL}) SELECT o_orderkey, s AS during_seconds FROM t ORDER BY s, o_orderkey LIMIT 10""")
-def q_task_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = orders_as_tasks(spark, sf_dir).withColumn("during_seconds", bands.remaining_seconds(moment(AS_OF), F.col("deadline"))).withColumn("pos", F.col("o_orderkey"))
+def q_task_top10(spark: SparkSession, sf_dir: str, orders=orders_as_tasks) -> DataFrame:
+    t = orders(spark, sf_dir).withColumn("during_seconds", bands.remaining_seconds(moment(AS_OF), F.col("deadline"))).withColumn("pos", F.col("o_orderkey"))
     return tasks.ranked(t).select("o_orderkey", "during_seconds").limit(10)
 
 
 @query("q_task_summary", f"""WITH t AS ({ORDERS_SQL}), b AS (SELECT s, {BAND_SQL} AS category FROM t)
 SELECT count(*) AS total, count(*) FILTER (s <= 0) AS expired, count(*) FILTER (category = 'C') AS urgent, count(*) FILTER (category = 'C' AND s > 0) AS urgent_ahead, round(min(CASE WHEN s > 0 THEN s/86400 END), 6) AS nearest_days FROM b""")
-def q_task_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.summary(tasks.derive(orders_as_tasks(spark, sf_dir), moment(AS_OF))).withColumn("nearest_days", F.round("nearest_days", 6))
+def q_task_summary(spark: SparkSession, sf_dir: str, orders=orders_as_tasks) -> DataFrame:
+    return tasks.summary(tasks.derive(orders(spark, sf_dir), moment(AS_OF))).withColumn("nearest_days", F.round("nearest_days", 6))
 
 
 @query("q_task_tiles", f"""WITH t AS ({ORDERS_SQL}), b AS (SELECT {BAND_SQL} AS c FROM t) SELECT {', '.join(f"count(*) FILTER (c = '{c}') AS {c}" for c in bands.LABELS)}, count(*) AS total FROM b""")
-def q_task_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.counts(tasks.derive(orders_as_tasks(spark, sf_dir), moment(AS_OF)))
+def q_task_tiles(spark: SparkSession, sf_dir: str, orders=orders_as_tasks) -> DataFrame:
+    return tasks.counts(tasks.derive(orders(spark, sf_dir), moment(AS_OF)))
 
 
 _LINES = "CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN p_name || '--' || (p_partkey % 14) || '/' || (p_partkey % 33) WHEN 2 THEN p_name || '--4/13~' || (1 + p_partkey % 12) || '/' || (1 + p_partkey % 28) WHEN 3 THEN p_name || '-- 4-8' WHEN 4 THEN '  ' || p_name || ' -- ' || (1 + p_partkey % 12) || '/' || (1 + p_partkey % 31) || '/2030 ' WHEN 5 THEN p_name || '--b--' || (1 + p_partkey % 12) || '/9--5/1' ELSE p_name || '--2/29' END"
@@ -130,12 +135,17 @@ def q_dedupe_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_timeline_pos", f"""WITH t AS ({ORDERS_SQL}), h AS (SELECT o_orderkey, o_custkey % 10 AS lane, s/3600 AS h FROM t WHERE s > 0),
  p AS (SELECT *, ln(1 + h)/ln(1 + max(h) OVER (PARTITION BY lane))*100 AS position FROM h), g AS (SELECT *, CASE WHEN (position - lag(position) OVER w)/100*1000 < 80 THEN 1 ELSE 0 END AS gap, row_number() OVER w AS r FROM p WINDOW w AS (PARTITION BY lane ORDER BY h, o_orderkey))
 SELECT o_orderkey, lane, round(position, 6) AS position, CASE WHEN r % 2 = 1 THEN 'up' ELSE 'down' END AS side, CAST(1 + sum(gap) OVER (PARTITION BY lane ORDER BY h, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS row FROM g""")
-def q_timeline_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_timeline_pos(spark: SparkSession, sf_dir: str, orders=orders_as_tasks) -> DataFrame:
     s = bands.remaining_seconds(moment(AS_OF), F.col("deadline"))
-    t = orders_as_tasks(spark, sf_dir).select("o_orderkey", (F.col("o_custkey") % 10).alias("lane"), (s / 3600).alias("h")).where("h > 0")
+    t = orders(spark, sf_dir).select("o_orderkey", (F.col("o_custkey") % 10).alias("lane"), (s / 3600).alias("h")).where("h > 0")
     return tasks.timeline(t, "h", ["lane"], ["o_orderkey"]).select("o_orderkey", "lane", F.round("position", 6).alias("position"), "side", "row")
 
 
+# The same over all orders; the SQL of those above is of the deadlines around AS_OF.
+for _q in (q_task_cards, q_task_next, q_task_top10, q_task_summary, q_task_tiles, q_timeline_pos):
+    query(f"{_q.__name__}_all", ORACLE_SQL[_q.__name__].replace(ORDERS_SQL, ALL_ORDERS_SQL))(functools.partial(_q, orders=all_orders_as_tasks))
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     money = lambda c: F.col(c).cast(ledger.MONEY)
     return table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", F.lit("-"), F.col("l_suppkey").cast("string")).alias("bucket"), "l_orderkey", "l_linenumber", F.col("l_partkey").alias("memo"), money("l_quantity").alias("amount"))

@@ -36,3 +36,9 @@ def test_query_matches_sql(spark, db, name):
     have = sorted((tuple(plain(r[c]) for c in columns) for r in got.collect()), key=repr)
     assert len(have) == len(want)
     assert have == want, next((a, b) for a, b in zip(have, want) if a != b)
+
+
+def test_all_orders_are_tasks(spark, db):
+    n = db.execute("select count(*) from orders").fetchone()[0]
+    tiles = QUERIES["q_task_tiles_all"](spark, SF).first()
+    assert tiles["total"] == n == QUERIES["q_task_cards_all"](spark, SF).count() and tiles["long_term"] > 0
