@@ -4,7 +4,7 @@ Texts are lower-cased; letters (and marks) are kept and everything else is one b
 UTF-8 bytes long, hashed to ``DIMENSIONS``. Document frequencies are counted over all training rows; the centroids come
 from k-means over at most ``SAMPLE_PER_LANGUAGE`` training rows of each language, those with the lowest hash of doc_id.
 A document is rejected if its cosine distance to the nearest centroid is beyond that centroid language's limit for
-texts of its length.
+texts of its length, or of the nearest length that its sample has.
 """
 
 from __future__ import annotations
@@ -64,6 +64,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c.astype(np.float32)
 
 
+def filled(limits: np.ndarray) -> np.ndarray:
+    """Limits that do not fall with length; a class without texts (inf) takes the nearest one's, the shorter's if two are as near."""
+    there = np.flatnonzero(np.isfinite(limits))
+    low = np.minimum.accumulate(limits[there][::-1])[::-1]
+    return low[np.abs(there - np.arange(len(limits))[:, None]).argmin(1)]
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -124,8 +131,8 @@ def train(rows: DataFrame) -> Model | None:
             for cut in (3, 6, 12, 24, 48, 96, 192, 384, 768, len(t)):
                 if 0 < cut <= len(t) and (part := t[:cut].strip()):
                     lows[int(np.searchsorted(CUTS, len(part)))].append(float((c @ vector(part, idf)).max()))
-        limits = np.array([min(x) * SLACK if x else 0.0 for x in lows])
-        return pa.table({"lang": [table.column("lang")[0].as_py()], "centroids": pa.array([c.tobytes()], pa.binary()), "limits": pa.array([np.minimum.accumulate(limits[::-1])[::-1].astype("f8").tobytes()], pa.binary())})
+        limits = filled(np.array([min(x) * SLACK if x else np.inf for x in lows]))
+        return pa.table({"lang": [table.column("lang")[0].as_py()], "centroids": pa.array([c.tobytes()], pa.binary()), "limits": pa.array([limits.astype("f8").tobytes()], pa.binary())})
 
     fitted = {r["lang"]: r for r in sample.groupBy("lang").applyInArrow(fit, schema).collect()}
     languages = [x for x, _ in languages if x in fitted]

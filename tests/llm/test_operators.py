@@ -223,6 +223,17 @@ def test_language_id(spark, empty):
     assert langid.predict(empty, model).count() == 0
 
 
+def test_language_id_rejects_after_short_texts_only(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(d.where(~langid.held_out()).withColumn("text", F.substr("text", F.lit(1), F.lit(100))))
+    assert (model.limits > 0).all() and (np.diff(model.limits, axis=1) >= 0).all()
+    odd = spark.createDataFrame([(k, t) for k, t in enumerate(["日本語のテキスト" * 30, "日本語のテキスト", "Ελληνικά κείμενα εδώ " * 400])], "doc_id long, text string")
+    assert langid.predict(odd, model).where("rejected").count() == 3
+    got = langid.predict(d, model).where(langid.held_out()).select("lang", "lang_pred", "rejected").collect()
+    assert np.mean([r["rejected"] for r in got]) < 0.01
+    assert langid.filled(np.array([np.inf, 0.3, np.inf, 0.2, np.inf, np.inf, 0.4, np.inf])).tolist() == [0.2, 0.2, 0.2, 0.2, 0.2, 0.4, 0.4, 0.4]
+
+
 def test_packing(docs, texts, empty):
     path = P.path("word_bpe_49k.json")
     pieces = packing.cut(docs, path).withColumn("_salt", F.lit("clash"))
