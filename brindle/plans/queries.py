@@ -346,6 +346,13 @@ def q_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return router.route(m).select("conv_id", "turn", "route", "args")
 
 
+# The same with whole texts; the SQL above is of their first 10 characters.
+@query("q_route_all", ORACLE_SQL["q_route"].replace("substr(text, 1, 10)", "text"))
+def q_route_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "concat(CASE (conv_id + turn) % 6 WHEN 0 THEN 'ddl:' WHEN 1 THEN 'ddltodo: ' WHEN 2 THEN ' qa:' WHEN 3 THEN 'none ' WHEN 4 THEN 'prefix-config:' ELSE 'pre:' END, text) AS text")
+    return router.route(m).select("conv_id", "turn", "route", "args")
+
+
 @query("q_throttle", """WITH RECURSIVE e AS (SELECT DISTINCT user_id, ts FROM events), a(user_id, ts) AS (SELECT user_id, min(ts) FROM e GROUP BY user_id UNION ALL SELECT user_id, t FROM (SELECT a.user_id, (SELECT min(e.ts) FROM e WHERE e.user_id = a.user_id AND e.ts >= a.ts + INTERVAL 1 HOUR) AS t FROM a) WHERE t IS NOT NULL) SELECT user_id, ts FROM a""")
 def q_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.throttle(table(spark, sf_dir, "events"), ["user_id"], "ts", 3600)
@@ -360,6 +367,16 @@ def q_eval_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evalmetrics.compare_runs(a, b, "doc_id")
 
 
+# All labels against all labels with ids shifted by one; the runs above leave some labels out.
+@query("q_eval_regression_all", """WITH a AS (SELECT doc_id, CAST(quality AS DOUBLE) AS score FROM labels), b AS (SELECT doc_id + 1 AS doc_id, CAST(toxic AS DOUBLE) AS score FROM labels)
+SELECT doc_id, a.score AS score_before, b.score AS score_now, CASE WHEN a.score IS NULL THEN 'new' WHEN b.score IS NULL THEN 'gone' WHEN b.score - a.score < -0.5 THEN 'regressed' WHEN b.score - a.score > 0.5 THEN 'improved' ELSE 'same' END AS change FROM a FULL JOIN b USING (doc_id)""")
+def q_eval_regression_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "labels")
+    a = runs.select("doc_id", F.col("quality").cast("double").alias("score"))
+    b = runs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("toxic").cast("double").alias("score"))
+    return evalmetrics.compare_runs(a, b, "doc_id")
+
+
 _RESULTS = "SELECT event_type AS capability, 'L' || (user_id % 3 + 1) AS level, value > 50 AS pass FROM events"
 
 
