@@ -35,9 +35,10 @@ def html_report(tasks: DataFrame, path: str, title: str) -> None:
 
 
 def json_array(tasks: DataFrame, path: str) -> None:
+    """All tasks in their order; too many for a report are an error here too."""
     from brindle.operators.tasks import to_json
 
-    Path(path).write_text(json.dumps([json.loads(r[0]) for r in to_json(tasks).limit(REPORT_ROWS).collect()], ensure_ascii=False, indent=2), encoding="utf-8")
+    Path(path).write_text(json.dumps([json.loads(r["json"]) for r in report_rows(to_json(tasks))], ensure_ascii=False, indent=2), encoding="utf-8")
 
 
 def framed(result: dict) -> str:

@@ -221,3 +221,13 @@ def test_all_templates_by_class(spark):
         assert got == plain(choose(each)) and len(got) == 9 and {r[2] for r in got if r[1] == 1} == {200}
     low = lambda d: sorted((r["request"], r["best"]) for r in d.collect())
     assert low(recommend.of_members(recommend.low_match(some, 99.0), members)) == low(recommend.low_match(each, 99.0))
+
+
+def test_a_json_array_is_whole_or_refused(sample, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "REPORT_ROWS", 3)
+    sinks.json_array(tasks.ranked(sample), str(tmp_path / "whole.json"))
+    assert len(json.loads((tmp_path / "whole.json").read_text("utf-8"))) == 3
+    monkeypatch.setattr(sinks, "REPORT_ROWS", 2)
+    with pytest.raises(ValueError):
+        sinks.json_array(tasks.ranked(sample), str(tmp_path / "cut.json"))
+    assert not (tmp_path / "cut.json").exists()
