@@ -1,4 +1,4 @@
-"""Jaccard self-join of documents over word shingles, by vertical partitioning of the global n-gram order.
+"""Jaccard self-join of documents over word shingles, with prefixes of the global n-gram order as candidates.
 
 1. Exact copies are one text. The number of texts that hold each shingle gives the global order: rarest first, ties by
    name. A text of n shingles can only reach the threshold with one that shares one of its n - ceil(t n) + 1 first
@@ -9,8 +9,8 @@
    reaches the threshold are measured, so a group of near copies costs about a comparison a text and not one a pair.
    Texts of different leaders are measured if they share a rare shingle and their sizes allow it. No link between two
    components is lost.
-3. A comparison cuts the shingles' order into fragments, counts the overlap of each fragment separately, and sums the
-   counts per pair.
+3. A comparison intersects whole sets within one row: by classes of the shingles' hash, not cuts of their order, whose
+   overlaps are counted separately and summed.
 """
 
 from __future__ import annotations
