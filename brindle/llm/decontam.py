@@ -113,6 +113,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_by
     benchmark = benchmark.where("item_id is not null").select("item_id", "text")
     size = benchmark.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     parts = -(-size // part_bytes) or 1
+    docs, schema = docs.select("doc_id", "text"), MATCHES
+    if parts > 1:  # numbered once and written, so that a row has the same number in each pass
+        docs, schema = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered"), f"{MATCHES}, _row long"
     found = None
     for k in range(parts):
         some = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else benchmark
@@ -135,12 +138,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_by
                 hits = search(w, first, it)
                 rows = [[{"item": a, "item_word": b, "word": c, "length": d} for a, b, c, d in h] for h in hits]
                 kind = pa.list_(pa.struct([("item", pa.int64()), ("item_word", pa.int32()), ("word", pa.int32()), ("length", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first).astype(np.int64)), pa.array(rows, kind)], ["doc_id", "n_words", "matches"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first).astype(np.int64)), pa.array(rows, kind), *batch.columns[2:]], ["doc_id", "n_words", "matches", *batch.schema.names[2:]])
 
-        part = docs.select("doc_id", "text").mapInArrow(scan, MATCHES)
+        part = docs.mapInArrow(scan, schema)
         found = part if found is None else found.unionByName(part)
-    if parts > 1:  # the parts' matches of a document meet again; each part gives each row once
-        found = found.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("matches")).alias("matches"))
+    if parts > 1:  # the parts' matches of a row meet again; each part gives each row once
+        found = found.groupBy("_row", "doc_id", "n_words").agg(F.flatten(F.collect_list("matches")).alias("matches")).drop("_row")
     return found
 
 

@@ -79,6 +79,14 @@ def test_decontamination(spark, docs, texts, empty):
     assert decontam.decontaminate(docs, benchmark.limit(0)).count() == docs.count()
 
 
+def test_decontamination_keeps_each_row_with_any_number_of_parts(spark):
+    benchmark = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(12))) for k in range(6)], "item_id long, text string")
+    hit = " ".join(f"w2x{i}" for i in range(12))
+    d = spark.createDataFrame([(1, hit), (1, hit), (None, hit), (None, hit.replace("x", "y")), (2, None), (2, None)], "doc_id long, text string")
+    rows = [sorted(decontam.summary(decontam.matches(d, benchmark, part_bytes=part)).collect(), key=repr) for part in (1 << 25, 60)]
+    assert rows[0] == rows[1] and len(rows[1]) == 6 and sum(r["contaminated"] for r in rows[1]) == 3
+
+
 def test_longest_matches_span_windows(spark):
     d = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40)))], "doc_id long, text string")
     b = spark.createDataFrame([(5, " ".join(f"w{i}" for i in range(8, 30)))], "item_id long, text string")
