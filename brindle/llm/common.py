@@ -30,14 +30,15 @@ def materialize(df: DataFrame, name: str, keep: str | None = None) -> DataFrame:
     path = f"{root}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     if keep is None:
-        _remove_at_exit(spark, root)
+        delete_at_exit(spark, root)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _roots: list[str] = []
 
 
-def _remove_at_exit(spark: SparkSession, root: str) -> None:
+def delete_at_exit(spark: SparkSession, root: str) -> None:
+    """Delete a folder when the session stops or Python ends."""
     if not _roots:
         atexit.register(_clean)
     _roots.append(root)

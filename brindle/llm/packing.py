@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from brindle.llm.common import materialize, partitions, slices
-from brindle.llm.tok import encode
+from brindle.llm.tok import SLICE, encode, ended
 
 CAPACITY = 4096
 
@@ -74,20 +74,27 @@ def _two_for_smallest(bin_: list[int], gap: int, counts: np.ndarray) -> list[int
 
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces: doc_id, piece, start, length, ids_crc32. A null text is the end id alone; only longer documents are cut."""
+    """Pieces: doc_id, piece, start, length, ids_crc32. A null text is the end id alone; only longer documents are cut.
 
-    end = np.array([end_id], "<u4").tobytes()
+    Each row is a document, repeated ones too; a null doc_id stays null. A very long text is encoded alone, in the memory
+    of one task. No rows give no pieces; other columns are left out.
+    """
 
     def tokens(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in slices(batches, "text"):
-            rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist(), tokenizer)):
-                ids += end
-                n = len(ids) // 4
-                rows += [(doc, k, at, min(capacity, n - at), zlib.crc32(ids[4 * at : 4 * (at + capacity)])) for k, at in enumerate(range(0, n, capacity))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for batch in slices(batches, "text", SLICE):
+            ids, begins = ended(*encode(batch.column(1), tokenizer), end_id)
+            raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+            n = np.diff(begins)
+            pieces = -(-n // capacity)
+            row = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(capacity, n[row] - start)
+            at = begins[:-1][row] + start
+            crc = [zlib.crc32(raw[4 * a : 4 * (a + m)]) for a, m in zip(at.tolist(), length.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(tokens, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -95,7 +102,9 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACI
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Give each piece (any table with a length from 1 to capacity) its sequence_id and offset.
 
-    Other columns are kept. Pieces of one length are alike, repeated rows are packed each for itself.
+    Other columns are kept, nulls in them too; a sequence_id or offset that is there already gives way. Pieces of one
+    length are alike, so ties take any order; repeated rows are packed each for itself. No pieces give no rows. A piece
+    beyond the capacity, or without a length, is an error of the caller.
     """
     spark = pieces.sparkSession
     salts = partitions(spark)
@@ -122,7 +131,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             slots.setdefault(length, []).append((int(taken[length]), sequence, len(offsets), offsets))
             taken[length] += times * len(offsets)
         sequence += times
-    first = {k: np.array([x[0] for x in v]) for k, v in slots.items()}
+    # All slots in order of length and first rank: their first sequence, pieces a sequence, and where their offsets begin.
+    most = int(counts.max()) + 1
+    listed = [(k, *x) for k in sorted(slots) for x in slots[k]]
+    slot_key = np.array([k * most + x for k, x, *_ in listed], np.int64)
+    slot_base, slot_per = (np.array([x[i] for x in listed], np.int64) for i in (2, 3))
+    slot_offsets = np.cumsum(slot_per) - slot_per
+    offsets_flat = np.array([o for x in listed for o in x[4]], np.int64)
 
     def place(batches) -> Iterator:
         import pyarrow as pa
@@ -130,10 +145,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         for batch in batches:
             at = {c: batch.schema.get_field_index(c) for c in ("length", "_rank")}
             length, rank = (batch.column(at[c]).to_numpy(zero_copy_only=False) for c in at)
-            sequence_id, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for i, (n, r) in enumerate(zip(length.tolist(), rank.tolist())):
-                begin, base, per, offsets = slots[n][int(np.searchsorted(first[n], r, side="right")) - 1]
-                sequence_id[i], offset[i] = base + (r - begin) // per, offsets[(r - begin) % per]
+            # One slot is the first of its length's slots whose ranks reach so far.
+            slot = np.searchsorted(slot_key, length * most + rank, side="right") - 1
+            r = rank - slot_key[slot] % most
+            sequence_id = slot_base[slot] + r // slot_per[slot]
+            offset = offsets_flat[slot_offsets[slot] + r % slot_per[slot]]
             kept = [i for i, c in enumerate(batch.schema.names) if c != "_rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(sequence_id), pa.array(offset)], [*(batch.schema.names[i] for i in kept), "sequence_id", "offset"])
 

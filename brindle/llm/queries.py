@@ -69,7 +69,7 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm import tokenbin
 
-    return tokenbin.summary(tokenbin.write(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
+    return tokenbin.summary(tokenbin.read(spark, tokenbin.write(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))))
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

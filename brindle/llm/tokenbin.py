@@ -1,25 +1,30 @@
 """Token-id output: frequency-ranked ids in byte-aligned variable-length coding with separate control bytes.
 
-File format: Parquet rows, one per block of about ``block_ids`` ids, whole documents only, in ascending order of doc_id:
-``start`` (ids in all blocks before), ``doc_ids`` (int64), ``lengths`` (uint32), ``control`` (two bits per id, four ids a
-byte, low bits first: bytes of the id's rank less one) and ``data`` (the ranks' bytes, little-endian, one after the other).
-A second table of the dictionary gives the id of each rank.
+File format, three Parquet tables in one folder:
+
+- ``blocks``: one row per block of about ``block_ids`` ids, whole documents only, in ascending order of doc_id within a
+  ``part``: ``part``, ``start`` (ids of the part's blocks before), ``doc_ids`` (int64), ``lengths`` (uint32), ``control``
+  (two bits per id, four ids a byte, low bits first: bytes of the id's rank less one) and ``data`` (the ranks' bytes,
+  little-endian, one after the other).
+- ``parts``: the parts in order of doc_id, with ``first``, the ids of all parts before.
+- ``dictionary``: the id of each rank, the most frequent first.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, partitions, slices
-from brindle.llm.tok import encode
+from brindle.llm.common import delete_at_exit, materialize, partitions, shared_folder, slices
+from brindle.llm.tok import SLICE, encode, ended, load
 
 BLOCK_IDS = 1 << 18
-BLOCK_SCHEMA = "start long, doc_ids binary, lengths binary, control binary, data binary"
+PART_IDS = 1 << 24  # ids of a part on average, unless the cluster has more tasks than that gives
+BLOCK_SCHEMA = "part int, start long, n long, doc_ids binary, lengths binary, control binary, data binary"
 
 
 def put(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -45,58 +50,44 @@ def get(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-@dataclass
-class TokenFiles:
-    blocks: DataFrame
-    dictionary: DataFrame
-    ids_of_ranks: np.ndarray
+def _binaries(flat: np.ndarray, begins: np.ndarray):
+    """An Arrow binary array of the runs of a numpy array that begin there."""
+    import pyarrow as pa
 
-    def read(self) -> DataFrame:
-        """One row per document out of the files: doc_id, start, n_tokens, ids (binary, little-endian uint32)."""
-        ids_of_ranks = self.ids_of_ranks
+    offsets = (begins * flat.itemsize).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
 
-        def decode(batches) -> Iterator:
-            import pyarrow as pa
 
-            for batch in batches:
-                for row in batch.to_pylist():
-                    lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-                    ids = ids_of_ranks[get(row["control"], row["data"], int(lengths.sum()))].astype("<u4")
-                    ends = np.cumsum(lengths)
-                    docs = np.frombuffer(row["doc_ids"], "<i8")
-                    blobs = [ids[e - n : e].tobytes() for e, n in zip(ends, lengths)]
-                    yield pa.record_batch([pa.array(docs), pa.array(row["start"] + ends - lengths), pa.array(lengths), pa.array(blobs, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 0, block_ids: int = BLOCK_IDS) -> str:
+    """Encode every whole text and write the ids to files in ascending order of doc_id; the folder they are in.
 
-        return self.blocks.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
-
-
-def write(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: int = BLOCK_IDS) -> TokenFiles:
-    """Encode every whole text and write the ids to files in ascending order of doc_id.
-
-    Null texts give the end id alone. Rows of one doc_id follow each other. A null doc_id is an error of the caller:
-    such rows have no place in the order and are left out. Other columns are ignored.
+    Null texts give the end id alone. Rows of one doc_id follow each other, each for itself. A null doc_id is an error of
+    the caller: such rows have no place in the order and are left out. A very long text is one block. An empty table
+    gives files without blocks. Other columns are ignored. Without a path the files go to the shared folder until exit.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    n = partitions(spark)
-    bounds = np.unique(np.array(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else [], dtype=np.int64))
-    end = np.array([end_id], "<u4").tobytes()
+    if path is None:
+        path = f"{shared_folder(spark)}/brindle-{uuid.uuid4().hex[:12]}"
+        delete_at_exit(spark, path)
+    vocabulary = load(tokenizer).get_vocab_size(with_added_tokens=True)
+    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def tokens(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in slices(batches, "text"):
-            doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            blobs = [np.frombuffer(x + end, "<u4").astype("<u2" if narrow else "<u4").tobytes() for x in encode(batch.column(1).to_pylist(), tokenizer)]
-            width = 2 if narrow else 4
-            yield pa.record_batch([pa.array(doc_ids), pa.array(np.searchsorted(bounds, doc_ids, side="left").astype(np.int32)), pa.array([len(x) // width for x in blobs], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "bucket", "n", "ids"])
-
-    from brindle.llm.tok import load
-
-    vocabulary = load(tokenizer).get_vocab_size(with_added_tokens=True)
-    narrow = vocabulary <= 1 << 16
-    kind = "<u2" if narrow else "<u4"
-    encoded = materialize(docs.mapInArrow(tokens, "doc_id long, bucket int, n long, ids binary"), "ids")
+        total = np.zeros(vocabulary, np.int64)
+        names = ["doc_id", "n", "ids", "_row", "counts"]
+        for batch in slices(batches, "text", SLICE):
+            ids, begins = ended(*encode(batch.column(1), tokenizer), end_id)
+            total += np.bincount(ids, minlength=vocabulary)
+            yield pa.record_batch([batch.column(0), pa.array(np.diff(begins)), _binaries(ids.astype(kind), begins), batch.column(2), pa.nulls(len(batch), pa.binary())], names)
+        seen = np.flatnonzero(total)
+        if len(seen):  # the task's ids and how often each came
+            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([np.stack([seen, total[seen]]).astype("<i8").tobytes()], pa.binary())], names)
+
+    # The row numbers are written with the ids, so that the order of the rows of one doc_id is the same in every attempt.
+    numbered = docs.select("doc_id", "text").where("doc_id is not null").withColumn("_row", F.monotonically_increasing_id())
+    encoded = materialize(numbered.mapInArrow(tokens, "doc_id long, n long, ids binary, _row long, counts binary"), "ids")
 
     def count(batches) -> Iterator:
         import pyarrow as pa
@@ -104,59 +95,68 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: int = BLO
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=vocabulary)
+                ids, n = np.frombuffer(x.as_buffer(), "<i8").reshape(2, -1)
+                total[ids] += n
         yield pa.record_batch([pa.array(np.flatnonzero(total).astype(np.int64)), pa.array(total[total > 0])], ["id", "n"])
 
     # The vocabulary bounds what reaches the driver.
-    seen = encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").toPandas()
+    seen = encoded.where("counts is not null").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").toPandas()
     ids_of_ranks = seen["id"].to_numpy(np.int64)
     rank_of_id = np.zeros(vocabulary, np.uint32)
     rank_of_id[ids_of_ranks] = np.arange(len(ids_of_ranks), dtype=np.uint32)
-    sums = {r["bucket"]: r["n"] for r in encoded.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
-    starts, total = {}, 0
-    for bucket in sorted(sums):
-        starts[bucket], total = total, total + sums[bucket]
+    parts = max(partitions(spark), int(seen["n"].sum()) // PART_IDS)
 
-    def coded(batches) -> Iterator:
+    def blocks(batches) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            out = [put(rank_of_id[np.frombuffer(x.as_buffer(), kind)]) for x in batch.column(3)]
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array([c for c, _ in out], pa.binary()), pa.array([d for _, d in out], pa.binary())], ["doc_id", "bucket", "n", "control", "data"])
-
-    def blocks(batches) -> Iterator:
+            n = batch.column(1).to_numpy()
+            doc_ids = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+            column = batch.column(2)
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            ranks = rank_of_id[np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)]
+            ends = np.cumsum(n)
+            begin = np.flatnonzero(np.diff((ends - n) // block_ids, prepend=-1))  # a block begins with the first document in it
+            rows = []
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(n)]):
+                low, high = int(ends[a] - n[a]), int(ends[b - 1])
+                rows.append((part, at, high - low, doc_ids[a:b].tobytes(), n[a:b].astype("<u4").tobytes(), *put(ranks[low:high])))
+                at += high - low
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4))], ["part", "start", "n", "doc_ids", "lengths", "control", "data"])
+
+    dealt = encoded.where("n is not null").select("doc_id", "n", "ids", "_row").repartitionByRange(parts, "doc_id", "_row").sortWithinPartitions("doc_id", "_row")
+    dealt.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
+    written = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
+    # One row a part.
+    first = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    written.groupBy("part").agg(F.sum("n").alias("n")).select("part", first.alias("first")).write.parquet(f"{path}/parts")
+    spark.createDataFrame([(r, int(i)) for r, i in enumerate(ids_of_ranks)], "rank long, id long").coalesce(1).write.parquet(f"{path}/dictionary")
+    return path
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """One row per document out of the files: doc_id, start, n_tokens, ids (binary, little-endian uint32)."""
+    # The vocabulary bounds the dictionary.
+    ids_of_ranks = spark.read.schema("rank long, id long").parquet(f"{path}/dictionary").orderBy("rank").toPandas()["id"].to_numpy("<u4")
+
+    def decode(batches) -> Iterator:
         import pyarrow as pa
 
-        held: list[dict] = []
-        at, bucket, size = 0, None, 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                at, doc_ids, lengths, control, data = (c[k].as_py() for c in batch.columns)
+                lengths = np.frombuffer(lengths, "<u4").astype(np.int64)
+                begins = np.concatenate([[0], np.cumsum(lengths)])
+                ids = ids_of_ranks[get(control, data, int(begins[-1]))]
+                yield pa.record_batch([pa.array(np.frombuffer(doc_ids, "<i8")), pa.array(at + begins[:-1]), pa.array(lengths), _binaries(ids, begins)], ["doc_id", "start", "n_tokens", "ids"])
 
-        def flush():
-            lengths = np.array([r["n"] for r in held], "<u4")
-            sizes = np.concatenate([SIZES[np.frombuffer(r["control"], np.uint8)].reshape(-1)[: r["n"]] for r in held]) - 1
-            padded = np.zeros(-(-len(sizes) // 4) * 4, np.uint8)
-            padded[: len(sizes)] = sizes
-            control = padded[0::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
-            values = [[at], [np.array([r["doc_id"] for r in held], "<i8").tobytes()], [lengths.tobytes()], [control.tobytes()], [b"".join(r["data"] for r in held)]]
-            return pa.record_batch([pa.array(values[0], pa.int64()), *(pa.array(v, pa.binary()) for v in values[1:])], ["start", "doc_ids", "lengths", "control", "data"])
+    parts = spark.read.schema("part int, first long").parquet(f"{path}/parts")
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").join(parts, "part")
+    return blocks.select((F.col("first") + F.col("start")).alias("at"), "doc_ids", "lengths", "control", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and (row["bucket"] != bucket or size >= block_ids):
-                    yield flush()
-                    at, held, size = at + size, [], 0
-                if row["bucket"] != bucket:
-                    bucket, at = row["bucket"], starts[row["bucket"]]
-                held.append(row)
-                size += row["n"]
-        if held:
-            yield flush()
-
-    dealt = encoded.mapInArrow(coded, "doc_id long, bucket int, n long, control binary, data binary").repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id", "n", "data")
-    written = materialize(dealt.mapInArrow(blocks, BLOCK_SCHEMA), "blocks")
-    dictionary = spark.createDataFrame([(r, int(i)) for r, i in enumerate(ids_of_ranks)], "rank long, id long")
-    return TokenFiles(written, dictionary, ids_of_ranks)
-
-
-def summary(files: TokenFiles) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the files."""
-    return files.read().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+def summary(found: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document that was read."""
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

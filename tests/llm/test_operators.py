@@ -2,9 +2,13 @@
 
 import collections
 import hashlib
+import json
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -12,6 +16,7 @@ import pytest
 from brindle.llm import ann, chat, components, decontam, html, jaccard, langid, names, packing, pii, suffixdedup, tokenbin
 from pyspark.sql import functions as F
 
+ROOT = Path(__file__).parent.parent.parent
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n long, _block int, rep long, spans string, lang_pred string, _row string, score int"
 
 
@@ -285,19 +290,44 @@ def test_two_for_smallest_fits_more_tightly():
     assert sum(t for _, t in bins) <= 1.005 * (counts * np.arange(4097)).sum() / 4096 + 1
 
 
-def test_token_files(docs, texts, empty):
+READ = """
+import sys
+from pyspark.sql import SparkSession
+from brindle.llm import tokenbin
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+tokenbin.summary(tokenbin.read(spark, sys.argv[1])).orderBy("start").coalesce(1).write.json(sys.argv[2])
+"""
+
+
+def test_token_files(spark, docs, texts, empty, tmp_path):
     path = P.path("byte_bpe_50k.json")
-    files = tokenbin.write(docs, path, block_ids=500)
+    out = str(tmp_path / "tokens")
+    assert tokenbin.write(docs, path, out, block_ids=500) == out
     from brindle.llm.tok import load
 
-    at = 0
-    rows = sorted(files.read().collect(), key=lambda r: r["start"])
+    at, want = 0, []
+    rows = sorted(tokenbin.read(spark, out).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in rows] == sorted([*by_id(texts), 60])
     for r in rows:
         ids = np.array(load(path).encode(by_id(texts)[r["doc_id"]] or "", add_special_tokens=False).ids + [0], "<u4")
         assert (r["start"], r["n_tokens"], bytes(r["ids"])) == (at, len(ids), ids.tobytes())
+        want.append({"doc_id": r["doc_id"], "start": at, "n_tokens": len(ids), "ids_crc32": zlib.crc32(ids.tobytes())})
         at += len(ids)
-    assert tokenbin.summary(tokenbin.write(empty, path)).count() == 0
+    # The files alone are enough for another process.
+    subprocess.run([sys.executable, "-c", READ, out, str(tmp_path / "read")], check=True, cwd=ROOT, capture_output=True)
+    assert [json.loads(x) for f in (tmp_path / "read").glob("*.json") for x in f.read_text().splitlines()] == want
+    assert tokenbin.read(spark, tokenbin.write(empty, path)).count() == 0
+
+
+def test_token_files_of_one_doc_id(spark):
+    """A doc_id that most rows have is dealt out all the same, and each of its rows stays."""
+    d = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit(1).alias("n"))
+    path = tokenbin.write(d, P.path("byte_bpe_50k.json"), block_ids=200)
+    rows = sorted(tokenbin.summary(tokenbin.read(spark, path)).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == sorted(7 if i % 3 else i for i in range(3000))
+    assert [r["start"] for r in rows] == np.cumsum([0, *(r["n_tokens"] for r in rows)])[:-1].tolist()
+    parts = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n").alias("n")).collect()
+    assert len(parts) > 4 and max(r["n"] for r in parts) < 0.5 * sum(r["n"] for r in parts)
 
 
 def test_variable_length_coding():

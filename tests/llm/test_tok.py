@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from brindle.llm import tok
 
@@ -16,6 +17,17 @@ def test_pieces_give_the_ids_of_whole_texts(name, monkeypatch):
     texts += [" ".join(rng.choice(parts[:14]) for _ in range(40)) for _ in range(300)]
     whole = [np.array(x.ids, "<u4").tobytes() for x in tok.load(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
     monkeypatch.setattr(tok, "CACHE_ENTRIES", 500)
-    got = [x for at in range(0, len(texts), 50) for x in tok.encode(texts[at : at + 50], path)]
-    bad = [t for t, a, b in zip(texts, whole, got) if a != b]
+    got = []
+    for at in range(0, len(texts), 50):
+        ids, begins = tok.encode(pa.array([None, *texts[at : at + 50]], pa.string()).slice(1), path)
+        got += [ids[a:b].astype("<u4").tobytes() for a, b in zip(begins, begins[1:])]
+    bad = [t for t, a, b in zip(texts, whole, got, strict=True) if a != b]
     assert not bad, bad[:3]
+
+
+def test_ends_and_nothing():
+    path = P.path("byte_bpe_50k.json")
+    ids, begins = tok.encode(pa.array([], pa.string()), path)
+    assert len(ids) == 0 and begins.tolist() == [0]
+    ids, begins = tok.ended(*tok.encode(pa.array(["a", None, "", "a"], pa.string()), path), 7)
+    assert begins.tolist() == [0, 2, 3, 4, 6] and ids[[1, 2, 3, 5]].tolist() == [7] * 4
