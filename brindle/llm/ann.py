@@ -3,8 +3,9 @@
 Equal vectors are one node. Nodes get one more dimension that gives all the same norm, in which the largest inner product
 is the nearest point. The graph starts from brute force within cells of random centres, in chunks of bounded size. Each
 round joins every node's neighbours, and those it is a neighbour of, with their vectors, and offers each pair of them to
-each other; a node keeps its ``k`` best. A search starts at a node's own neighbours and at a few common nodes, and goes to the neighbours of the
-best nodes found, until none of those is unvisited. Scores of the result are computed anew in double precision.
+each other; a node keeps its ``k`` best. Nodes that learnt of none since the last round sit out; the rounds end when few
+neighbours are new. A search starts at a node's own neighbours and at a few common nodes, and goes to the neighbours of
+the best nodes found, until none of those is unvisited. Scores of the result are computed anew in double precision.
 """
 
 from __future__ import annotations
@@ -25,25 +26,26 @@ from brindle.llm.common import materialize
 class Descent:
     k: int = 28  # neighbours that a node keeps
     sample: int = 40  # neighbours and reverse neighbours that a node introduces to each other in a round
-    rounds: int = 7
+    rounds: int = 30  # at most; the share that is settled ends them, after about as many as the logarithm of the nodes
     cells: int = 4  # times that the nodes are dealt to cells for the start
     cell_nodes: int = 200  # nodes of a cell on average
     centres: int = 2048  # at most
     chunk: int = 512  # nodes that are held against each other in a cell
     pool: int = 192  # nodes that a search keeps
     step: int = 24  # nodes that it visits at a time
-    search_rounds: int = 9
     entries: int = 12  # longest vectors, and others, that every search also begins at
     settled: float = 0.002  # share of new neighbours below which the rounds end
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding of the rows that take part: no nulls, only finite numbers, not zero, of the most frequent length."""
+    """vec_id, embedding of the rows that take part: no nulls, only finite numbers, not zero. Shorter vectors end in zeros."""
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
     fine = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("embedding", lambda x: x != 0)
     v = v.where(F.coalesce(fine, F.lit(False)))
-    most = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return v.where(F.size("embedding") == (most["n"] if most else 0))
+    width = v.agg(F.max(F.size("embedding")).alias("n")).first()["n"] or 0
+    long = F.when(F.size("embedding") < width, F.concat("embedding", F.array_repeat(F.lit(0.0), (F.lit(width) - F.size("embedding")).cast("int")))).otherwise(F.col("embedding"))
+    # A vec_id that has several vectors has the lowest, number by number.
+    return v.groupBy("vec_id").agg(F.min(long).alias("embedding"))
 
 
 def _matrix(column, width: int) -> np.ndarray:
@@ -112,7 +114,7 @@ def start(points: DataFrame, width: int, count: int, how: Descent) -> DataFrame:
 
         dealt = points.select("node", "vec").mapInArrow(deal, "node long, vec binary, cell int")
         sizes = dealt.groupBy("cell").count()
-        chunked = dealt.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("node", F.lit(100 + t)), F.ceil(F.col("count") / how.chunk)))
+        chunked = dealt.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("node", F.lit(100 + t)), F.ceil(F.col("count") / how.chunk)))
 
         def brute(table):
             import pyarrow as pa
@@ -169,13 +171,15 @@ def graph(points: DataFrame, width: int, how: Descent = Descent()) -> DataFrame:
         worst = g.groupBy("a").agg(F.when(F.count("*") >= how.k, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
         held = points.select(F.col("node").alias("b"), "vec").join(worst.withColumnRenamed("a", "b"), "b")
         both = g.select("a", "b", "new").union(g.select(F.col("b").alias("a"), F.col("a").alias("b"), "new")).groupBy("a", "b").agg(F.max("new").alias("new"))
-        drawn = both.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("new"), F.xxhash64("a", "b", F.lit(t))))).where(F.col("_r") <= how.sample)
+        of_a = Window.partitionBy("a")
+        fresh = both.withColumn("_any", F.max("new").over(of_a)).where("_any = 1").drop("_any")
+        drawn = fresh.withColumn("_r", F.row_number().over(of_a.orderBy(F.desc("new"), F.xxhash64("a", "b", F.lit(t))))).where(F.col("_r") <= how.sample)
         lists = drawn.join(held, "b").groupBy("a").agg(F.collect_list(F.struct("b", "vec", "new", "worst")).alias("list")).select("list")
         offers = lists.mapInArrow(introduce, PAIRS)
         # All of the present neighbours have now met, but for those that were not drawn.
         met = g.join(drawn.select("a", "b", F.lit(0).alias("_met")), ["a", "b"], "left").select("a", "b", "s", F.coalesce("_met", "new").alias("new"))
         g = materialize(_best(met.unionByName(offers.withColumn("new", F.lit(1))), how.k), "graph")
-        del worst, held, both, drawn, lists, offers, met
+        del worst, held, both, fresh, drawn, lists, offers, met
         release(points.sparkSession)
         if g.where("new = 1").count() < how.settled * how.k * count:
             break
@@ -205,27 +209,27 @@ def search(queries: DataFrame, g: DataFrame, points: DataFrame, width: int, how:
     first = own.union(asked.select("q", F.explode(F.array(*(F.lit(r["node"]).cast("long") for r in common))).alias("b"))).distinct()
     pool = materialize(scores(first), "pool")
 
-    for _ in range(how.search_rounds):
+    while True:  # each round visits nodes that it has not seen, so this ends
         near = pool.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "b")))
         ahead = near.where(F.col("_r") <= how.pool // 2).where("seen = 0").withColumn("_e", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "b"))).where(F.col("_e") <= how.step)
         ahead = materialize(ahead.select("q", F.col("b").alias("a")), "ahead")
         if not ahead.limit(1).count():
-            break
+            return pool.select("q", "b")
         offered = ahead.join(g, "a").select("q", "b").distinct().join(pool.select("q", "b"), ["q", "b"], "left_anti")
         scored = scores(offered)
         old = pool.join(ahead.select("q", F.col("a").alias("b"), F.lit(1).alias("_now")), ["q", "b"], "left").select("q", "b", "s", F.coalesce("_now", "seen").alias("seen"))
         every = old.unionByName(scored).withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "b")))
         pool = materialize(every.where(F.col("_r") <= how.pool).drop("_r"), "pool")
-    return pool.select("q", "b")
 
 
 def nearest(vectors: DataFrame, is_query, top: int = 20, how: Descent = Descent()) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that is_query (a condition on vec_id) names, its top nearest other rows.
 
-    Rows with null, zero or not finite vectors take no part, nor do those of a rare length. Equal scores go to the smaller
-    vec_id. Repeated rows of one vec_id are one row. A table of one usable row, or none, gives none; other columns are ignored.
+    Rows with null, zero or not finite vectors take no part. Vectors of several lengths count as if the shorter ones ended
+    in zeros. Equal scores go to the smaller vec_id. Repeated rows of one vec_id are one row; if their vectors differ, the
+    lowest counts. A table of one usable row, or none, gives none; other columns are ignored.
     """
-    v = materialize(usable(vectors).dropDuplicates(["vec_id"]), "vectors")
+    v = materialize(usable(vectors), "vectors")
     if v.limit(2).count() < 2:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     points, members, width = nodes(v)
