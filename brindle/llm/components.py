@@ -11,8 +11,9 @@ from brindle.llm.common import drop, materialize
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node of its component) for each node of edges a, b; nodes without edges have no row.
 
-    Each round takes the lowest label among a node and its neighbours, then the label of that label. Both are
-    aggregations with partial sums, so a node with very many edges is no hot task. The rounds end when nothing changes.
+    Each round takes the lowest label among a node and its neighbours, then the label of that label. Labels are aggregated
+    in part before they are shuffled; both sides of the joins are written tables, so that Spark splits the edges of a node
+    that has very many. The rounds end when nothing changes. Repeated edges count once.
     """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")

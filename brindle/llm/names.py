@@ -24,7 +24,12 @@ NOTE = "_block int, _kind int, _bucket int, _blob binary"
 
 
 class Blocks:
-    """The distinct texts of docs by block, and classes: doc_id, rep (the lowest doc_id of its text), n_bytes, short (texts below short_bytes)."""
+    """The distinct texts of docs by block.
+
+    ``rows`` has one row for each of docs (doc_id, _digest, n_bytes, short: texts below short_bytes), ``texts`` one for each
+    distinct text (_digest, rep: the lowest doc_id that has it, node: its number). A doc_id that has several texts has a
+    row for each, and each text is its own node.
+    """
 
     def __init__(self, docs: DataFrame, block_bytes: int | None = None, short_bytes: int = 0) -> None:
         docs = docs.select("doc_id", "text").where("doc_id is not null")
@@ -34,35 +39,43 @@ class Blocks:
         self.bits = min(56, max(36, math.ceil(math.log2(size + 2)) + 10))
         text = F.coalesce("text", F.lit(""))
         size_of = F.octet_length(text).cast("long")
-        keyed = docs.select("doc_id", F.sha2(text, 256).alias("_digest"), size_of.alias("n_bytes"), F.when(size_of < short_bytes, text.cast("binary")).alias("short"))
-        first = keyed.groupBy("_digest").agg(F.min("doc_id").alias("rep"))
-        self.classes = materialize(keyed.join(first, "_digest").select("doc_id", "rep", "n_bytes", "short"), "classes")
-        self.docs = docs.withColumn("_block", self.block("doc_id"))
-        reps = self.classes.select(F.col("rep").alias("doc_id")).distinct().withColumn("_block", self.block("doc_id"))
-        self.reps = reps.select("_block", F.lit(0).alias("_kind"), F.lit(0).alias("_bucket"), F.to_binary(F.lpad(F.hex("doc_id"), 16, "0"), F.lit("hex")).alias("_blob"))
+        short = F.when(size_of < short_bytes, text.cast("binary")).alias("short")
+        self.rows = materialize(docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("_digest"), F.xxhash64(text).alias("_mark"), size_of.alias("n_bytes"), short), "rows")
+        first = self.rows.groupBy("_digest").agg(F.min("doc_id").alias("rep"), F.first("_mark").alias("_mark"))
+        # Written before it is joined, so that its size is known and a text that very many rows have can be split.
+        self.texts = materialize(first.withColumn("node", F.monotonically_increasing_id()), "texts")
+        self.docs = docs.withColumn("_mark", F.xxhash64(text)).withColumn("_block", self.block("doc_id"))
+        word = lambda c: F.to_binary(F.lpad(F.hex(c), 16, "0"), F.lit("hex"))
+        self.reps = self.texts.select(self.block("rep").alias("_block"), F.lit(0).alias("_kind"), F.lit(0).alias("_bucket"), F.concat(word("rep"), word("_mark"), word("node")).alias("_blob"))
 
     def block(self, column: str):
         return F.pmod(F.xxhash64(column), F.lit(self.n)).cast("int")
 
+    def classes(self) -> DataFrame:
+        """The rows with the rep and node of their text."""
+        return self.rows.join(self.texts.select("_digest", "rep", "node"), "_digest").drop("_digest", "_mark")
+
     def run(self, notes: DataFrame | None, f: Callable, schema: str) -> DataFrame:
-        """f(block number, Arrow table of doc_id and text sorted by doc_id, notes by kind and bucket) -> Arrow table."""
+        """f(block number, Arrow table of doc_id, text and node sorted by doc_id, notes by kind and bucket) -> Arrow table."""
         side = self.reps if notes is None else self.reps.unionByName(notes)
 
         def call(docs, side):
             import pyarrow as pa
-            import pyarrow.compute as pc
 
             noted: dict[int, dict[int, bytes]] = {}
             reps = []
             for kind, bucket, blob in zip(*(side.column(c).to_pylist() for c in ("_kind", "_bucket", "_blob"))):
                 if kind == 0:
-                    reps.append(int.from_bytes(blob, "big", signed=True))
+                    reps.append(blob)
                 else:
                     noted.setdefault(kind, {})[bucket] = blob
             number = docs.column("_block")[0].as_py() if docs.num_rows else -1
-            docs = docs.select(["doc_id", "text"])
-            docs = docs.filter(pc.is_in(docs.column("doc_id"), pa.array(reps, pa.int64()))).sort_by("doc_id")
-            return f(number, docs, noted)
+            rep, mark, node = np.frombuffer(b"".join(reps), ">i8").reshape(-1, 3).T
+            held = dict(zip(zip(rep.tolist(), mark.tolist()), node.tolist()))
+            # The first row of each text; a row that was found is not looked for again.
+            found = [(i, x) for i, key in enumerate(zip(docs.column("doc_id").to_pylist(), docs.column("_mark").to_pylist())) if (x := held.pop(key, None)) is not None]
+            docs = docs.select(["doc_id", "text"]).take(pa.array([i for i, _ in found], pa.int64())).append_column("node", pa.array([x for _, x in found], pa.int64()))
+            return f(number, docs.sort_by([("doc_id", "ascending"), ("node", "ascending")]), noted)
 
         return self.docs.groupBy("_block").cogroup(side.groupBy("_block")).applyInArrow(call, schema)
 
@@ -146,7 +159,7 @@ def frequencies(names: np.ndarray, notes: dict[int, bytes], bits: int, buckets:
 
 
 def batches_of(table, limit: int = 2 << 20) -> Iterable:
-    """Slices of an Arrow table of doc_id and text with at most limit bytes of text; a longer text comes alone."""
+    """Slices of an Arrow table of documents with at most limit bytes of text; a longer text comes alone."""
     from brindle.llm.common import slices
 
     return slices(table.combine_chunks().to_batches(), "text", limit)

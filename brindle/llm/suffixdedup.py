@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import names as N
+from brindle.llm.common import materialize
 from brindle.llm.spans import BYTE, joined, mix
 
 LENGTH = 50
@@ -89,18 +90,19 @@ def anchors(data: np.ndarray, texts: np.ndarray, length: int, anchor: int) -> tu
 
 
 def _pieces(table, length: int, anchor: int):
-    """Slices of a block with their anchors: doc_ids, bytes, text starts, and what anchors() gives."""
+    """Slices of a block with their anchors: doc_ids and nodes, bytes, text starts, and what anchors() gives."""
     for b in N.batches_of(table, 1 << 20):
         data, texts = joined(b.column(1))
-        yield b.column(0).to_numpy(zero_copy_only=False), data, texts, *anchors(data, texts, length, anchor)
+        yield (b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)), data, texts, *anchors(data, texts, length, anchor)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, n_bytes, spans (array of start, end in bytes: the maximal runs to remove), kept (binary) of each document.
+    """doc_id, n_bytes, spans (array of start, end in bytes: the maximal runs to remove), kept (binary) of each row of docs.
 
     A byte is removed if a string of ``length`` bytes that covers it also starts in a document with a lower doc_id.
-    Null texts are empty. Rows with one doc_id are one document if their texts agree. Rows without a doc_id are left out,
-    other columns ignored; an empty table gives an empty one.
+    Null texts are empty. Rows with one doc_id take nothing from each other, whether their texts agree or not, and each
+    has its own result. A very long text is in a block of its own and must fit a task. Rows without a doc_id are left
+    out, other columns ignored; an empty table gives an empty one.
     """
     blocks = N.Blocks(docs, short_bytes=length)
     n, bits = blocks.n, blocks.bits
@@ -130,7 +132,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
         held = N.frequencies(distinct, notes.get(1, {}), bits, n)
         found: dict[bytes, list] = {}
         runs = []
-        for (ids, data, texts, text, rank, first, last), short in zip(slices_, ranks):
+        for ((ids, _), data, texts, text, rank, first, last), short in zip(slices_, ranks):
             raw = data.tobytes()
             some = np.flatnonzero(held[np.searchsorted(distinct, short)] > 1)
             for i, s, doc, f, l in zip(some.tolist(), short[some].tolist(), ids[text[some]].tolist(), first[some].tolist(), last[some].tolist()):
@@ -216,8 +218,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
         for s in order:
             place[s] = at
             at += len(s) - length + 1
-        columns: list[list] = [[], [], [], []]
-        for (ids, data, texts, text, _r, first, last), some in zip(slices_, runs):
+        columns: list[list] = [[], [], [], [], []]
+        for ((ids, nodes), data, texts, text, _r, first, last), some in zip(slices_, runs):
             raw = data.tobytes()
             edge = np.zeros(len(data) + 1, np.int32)
             if len(some):
@@ -237,16 +239,22 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
                 columns[1].append(len(own))
                 columns[2].append([{"start": a, "end": b} for a, b in turn.reshape(-1, 2).tolist()])
                 columns[3].append(data[texts[i] : texts[i + 1]][~own].tobytes())
+            columns[4] += nodes.tolist()
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"doc_id": pa.array(columns[0], pa.int64()), "n_bytes": pa.array(columns[1], pa.int64()), "spans": pa.array(columns[2], span), "kept": pa.array(columns[3], pa.binary())})
+        return pa.table({"doc_id": pa.array(columns[0], pa.int64()), "n_bytes": pa.array(columns[1], pa.int64()), "spans": pa.array(columns[2], span), "kept": pa.array(columns[3], pa.binary()), "node": pa.array(columns[4], pa.int64())})
 
     told = N.shared(blocks.run(None, ask, N.NOTE))
     ranked = blocks.run(told, spread, N.NOTE).groupBy("_bucket").applyInArrow(rank_windows, N.NOTE)
-    first = blocks.run(told.unionByName(ranked), mark, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    first = blocks.run(told.unionByName(ranked), mark, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, node long")
+    classes = blocks.classes()
+    # Rows that repeat the first one of a text with its doc_id have its result; written, so that its size is known.
+    again = materialize(classes.where("doc_id = rep").groupBy("node").agg(F.count("*").cast("int").alias("_rows")).where("_rows > 1"), "again")
+    repeated = F.explode(F.sequence(F.lit(1), F.coalesce("_rows", F.lit(1)))).alias("_k")
+    first = first.join(again, "node", "left").select("doc_id", "n_bytes", "spans", "kept", repeated).drop("_k")
     # A later copy of a text goes as a whole if it is long enough, and else stays.
     kind = "array<struct<start: bigint, end: bigint>>"
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
-    later = blocks.classes.where("doc_id > rep").select(
+    later = classes.where("doc_id > rep").select(
         "doc_id", "n_bytes", F.when(F.col("n_bytes") >= length, whole).otherwise(F.array().cast(kind)).cast(kind).alias("spans"), F.coalesce("short", F.lit(b"")).alias("kept")
     )
     return first.unionByName(later)

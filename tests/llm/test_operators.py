@@ -76,7 +76,7 @@ def test_decontamination(spark, docs, texts, empty):
         want[d] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(found))
     for part in (1 << 25, 150):
         got = decontam.summary(decontam.matches(docs, benchmark, part_bytes=part)).collect()
-        assert {r["doc_id"]: tuple(r)[1:] for r in got} == want
+        assert sorted(map(tuple, got)) == sorted([(d, *x) for d, x in want.items()] + [(60, *want[60])])
     kept = decontam.decontaminate(docs, benchmark)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {d for d, x in want.items() if not x[-1]}
@@ -170,14 +170,25 @@ def test_suffix_dedup(docs, texts, empty, monkeypatch):
     for size in (1 << 20, 1500):
         monkeypatch.setattr(names.Blocks.__init__, "__defaults__", (size, 0))
         got = suffixdedup.summary(suffixdedup.repeats(docs)).collect()
-        assert {r["doc_id"]: tuple(r)[1:] for r in got} == want
-        assert len(got) == docs.count()
+        assert sorted(map(tuple, got)) == sorted([(d, *x) for d, x in want.items()] + [(60, *want[60])])
     assert suffixdedup.repeats(empty).count() == 0
 
 
+def test_suffix_dedup_of_repeated_and_clashing_rows(spark):
+    a, b = "a passage that is longer than fifty bytes, as it has to be here", "another text, also longer than fifty bytes, to have two of them"
+    rows = [(1, a), (1, a), (1, a), (2, a), (2, a), (3, b), (3, a + b), (4, b), (5, None), (5, None), (5, ""), (None, a)]
+    got = suffixdedup.summary(suffixdedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    la, lb = len(a), len(b)
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got) == sorted([(1, la, 0)] * 3 + [(2, la, la)] * 2 + [(3, lb, 0), (3, la + lb, la), (4, lb, lb)] + [(5, 0, 0)] * 3)
+
+
 def groups(texts):
+    return groups_of(by_id(texts))
+
+
+def groups_of(texts):
     sets = {}
-    for d, t in by_id(texts).items():
+    for d, t in texts.items():
         w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
         sets[d] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
     label = {d: d for d in sets}
@@ -197,11 +208,54 @@ def test_jaccard_join(docs, texts, empty, monkeypatch):
     for size in (1 << 20, 1500):
         monkeypatch.setattr(names.Blocks.__init__, "__defaults__", (size, 0))
         got = jaccard.near_duplicates(docs).collect()
-        assert {r["doc_id"]: tuple(r)[1:] for r in got} == want
-        assert len(got) == docs.count()
+        assert sorted(map(tuple, got)) == sorted([(d, *x) for d, x in want.items()] + [(60, *want[60])])
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_jaccard_join_of_repeated_and_clashing_rows(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a), (1, a), (2, a), (3, a), (3, a), (7, b), (7, a + " x"), (8, b + " y"), (9, None), (9, None), (9, ""), (10, ""), (None, a)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # Both texts of 7 are linked, each with its own group.
+    assert sorted(map(tuple, got)) == sorted([(1, 36, 1)] * 2 + [(2, 36, 1), (3, 36, 1), (3, 36, 1), (7, 36, 7), (7, 37, 1), (8, 37, 7), (9, 0, 9), (9, 0, 9), (9, 0, 9), (10, 0, 10)])
+
+
+def test_jaccard_join_of_texts_just_below_the_threshold(spark):
+    """Short texts of one template: none are linked, and no pair of them is counted but with the leader."""
+    common = " ".join(f"c{k}" for k in range(20))
+    made = [(i, f"{common} x{i} y{i} z{i}") for i in range(5000)] + [(5000 + i, f"{common} u{i // 2} v{i // 2} w{i % 2}") for i in range(40)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    want = groups_of({i: t for i, t in made[:60] + made[5000:]})
+    assert all(got[i] == i for i in range(5000)) and all(got[d] == want[d][1] for d in range(5000, 5040))
+
+
+def test_jaccard_join_of_excerpts_and_mixed_sizes(spark):
+    """Excerpts of one long text, with changes: links among texts of one leader that the leader does not make."""
+    rng = random.Random(8)
+    long = [f"w{i}" for i in range(600)]
+    made = []
+    for i in range(150):
+        at, n = rng.randrange(0, 500), rng.choice([12, 30, 60, 90])
+        w = long[at : at + n]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(12)}"
+        made.append((i, " ".join(w)))
+    made.append((999, " ".join(long)))
+    got = sorted(map(tuple, jaccard.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()))
+    assert got == sorted((d, *x) for d, x in groups_of(dict(made)).items())
+
+
+def test_fragments_are_intervals_of_the_order(spark):
+    d = spark.createDataFrame([(i, f"{'all of these have this in them ' if i % 2 == 0 else ''}{' '.join(f'g{i // 4}k{k}' for k in range(12))} end{i}") for i in range(64)], "doc_id long, text string")
+    _, texts = jaccard.features(d, 5, 80)
+    rows = texts.collect()
+    assert {p["f"] for r in rows for p in r["parts"]} == {0, 1, 4}  # shingles that 2 to 3, 4 to 7 and 32 to 63 texts have
+    sets = {r["node"]: {s for p in r["parts"] for s in p["seg"]} for r in rows}
+    a, b = rows[0]["node"], max((n for n in sets if n != rows[0]["node"]), key=lambda n: len(sets[n] & sets[rows[0]["node"]]))
+    found = jaccard.measured(spark.createDataFrame([(a, b)], "a long, b long"), texts).first()
+    assert found["o"] == len(sets[a] & sets[b]) and {m["s"] for m in found["more"]} == sets[a] - sets[b]
+
+
 def test_jaccard_chain_around_the_threshold(spark):
     """Texts that drift apart word by word: neighbours link, ends don't, and the component holds them all."""
     base = [f"w{i}" for i in range(120)]
@@ -338,12 +392,26 @@ def test_variable_length_coding():
     assert tokenbin.get(*tokenbin.put(x[:0]), 0).size == 0
 
 
+def recall(found, x, queries, top=20):
+    """Share of the true nearest among the found: both from matrix x, ids are its rows."""
+    hits = 0
+    for at in range(0, len(queries), 500):
+        some = queries[at : at + 500]
+        scores = x[some] @ x.T
+        scores[np.arange(len(some)), some] = -np.inf
+        best = np.argpartition(-scores, top, axis=1)[:, :top]
+        hits += sum(len({*b} & found[q]) for q, b in zip(some.tolist(), best.tolist()))
+    return hits / (top * len(queries))
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(700, 12)) + rng.integers(0, 4, 700)[:, None]
     x[50:300] = x[50]  # one vector very often
-    rows = [(int(i), v.tolist(), "clash") for i, v in enumerate(x)] + [(900, None, ""), (901, [0.0] * 12, ""), (902, [float("nan")] * 12, ""), (903, [1.0, None] * 6, ""), (904, [1.0], ""), (920, [], "")]
-    v = spark.createDataFrame(rows + rows[:2], "vec_id long, embedding array<double>, node string")
+    x[690:, 9:] = 0  # given without its end
+    rows = [(int(i), v.tolist() if i < 690 else v[:9].tolist(), "clash") for i, v in enumerate(x)]
+    rows += [(900, None, ""), (901, [0.0] * 12, ""), (902, [float("nan")] * 12, ""), (903, [1.0, None] * 6, ""), (920, [], ""), (None, [1.0], "")]
+    v = spark.createDataFrame(rows + rows[:2] + [(1, (x[1] + 9).tolist(), "")], "vec_id long, embedding array<double>, node string")
     got = collections.defaultdict(list)
     for r in ann.nearest(v, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
@@ -360,6 +428,17 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(v.where("vec_id in (0, 1)"), F.col("vec_id") % 20 == 0).collect()[0]["vec_id"] == 1
 
 
+def test_nearest_neighbours_of_ten_thousand(spark):
+    rng = np.random.default_rng(9)
+    near = rng.normal(size=(60, 24))
+    x = near[rng.integers(0, 60, 10_000)] + 0.8 * rng.normal(size=(10_000, 24))
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(set)
+    for r in ann.nearest(v, F.col("vec_id") % 20 == 0).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    assert recall(found, x, np.arange(0, 10_000, 20)) >= 0.9
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>x{}</style></head><body><header class="site-header">Logo <a href=/>Home</a></header>
 <nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav><div class="cookie notice">We use cookies</div><script>var a="<p>no</p>";</script>
 <article><header><h1>Head&amp;line</h1></header><p>First   <b>bold</b> text,<br>with&nbsp;a line.<p>Second <a href=c>linked</a>.</p><!-- gone <p>x</p> --><aside>Related <a href=d>x</a></aside>
@@ -375,3 +454,37 @@ def test_html(spark):
     assert [got[k]["text"] for k in (2, 3, 6, 7)] == [""] * 4
     assert got[4]["text"] == "plain <text> only, without any mark" and got[5]["text"] == "unclosed bold it"
     assert html.extract(p).count() == len(rows) + 1 and html.extract(p.limit(0)).count() == 0
+
+
+# Held-out pages: main text in uppercase, the rest in lowercase.
+HELD_OUT = [
+    "<div class='content has-sidebar'><article><h2>TITLE</h2><p>{T}</p><ul><li><a href=x>ONE</a><li><a href=y>TWO</a></ul></article><div class=sidebar><p>{t}</p></div></div>",
+    "<form id=aspnetForm><div class=site-header>{t}</div><article><p>{T}</p><form><label>mail</label><button>send</button></form><p>X</p></article></form>",
+    "<article><p>{T}</p><div class='legal-analysis'><h3>LAW</h3><p>{T}</p></div><aside>{t}</aside><div class='share-story'><a href=a>share</a><span> </span></div><p>{T}</p></article>",
+    "<article><header><h1>TITLE</h1></header><div class=adSlot>{t}</div><p>{T}</p><section id=comments><article class=comment><p>{t}</p></article></section><footer>tags</footer></article>",
+    "<div id=nav><a href=a>one</a> <a href=b>two</a></div><div class=text><h1>TITLE</h1><p>{T}<p>{T}<a href=c>LINK</a></div><ul><li><a href=x>more</a><li><a href=y>links</a><li><a href=z>here</a></ul><div class='cookie-notice'>{t}</div>",
+    "<div role=banner>{t}</div><article class='post'><table><tr><td>CELL<td><a href=c>LINKED</a></table><p>{T}</p><nav><a href=n>next</a></nav></article><div>{t}</div><footer>{t}</footer>",
+    "<article><p><a href=r>REFERENCE</a></p><p><a href=r>REFERENCE</a></p><p><a href=r>REFERENCE</a></p></article><div class=related><a href=x>more</a></div>",
+]
+
+
+def test_html_tree_on_held_out_pages():
+    tree = html.grow(html.LABELLED)
+    for page in HELD_OUT:
+        page = page.replace("{T}", "SOME WORDS OF THE TEXT, " * 6).replace("{t}", "other words, not of it, " * 6)
+        found = html.blocks(page)
+        want = [b[0] for b in found if b[0].isupper()]
+        assert want and html.main_text(page, tree).split("\n") == want, page
+
+
+def test_html_tree_decides_by_many_features():
+    def used(tree, article):
+        if "label" in tree:
+            return set()
+        if html.FEATURES[tree["feature"]] == "article":
+            return {"article"} | used(tree["high" if article > tree["cut"] else "low"], article)
+        return {html.FEATURES[tree["feature"]]} | used(tree["low"], article) | used(tree["high"], article)
+
+    assert len(used(html.grow(html.LABELLED), 1.0)) >= 4
+    tree = html.grow(html.LABELLED)
+    assert all(html.decide(tree, tuple(row[:-1])) == row[-1] for row in html.LABELLED)
