@@ -33,6 +33,13 @@ def matrix(results: DataFrame, row: str, column: str, values: list[str]) -> Data
     return results.groupBy(row).agg(*(F.round(F.avg(F.when(F.col(column) == v, F.col("pass").cast("int"))), 6).alias(v) for v in values))
 
 
+def priorities(cells: DataFrame) -> DataFrame:
+    """Cells (level, pass_rate) with colour (green from 0.8, yellow from 0.6, else red) and turn: red before yellow before green, then by level."""
+    rate = F.col("pass_rate")
+    c = cells.withColumn("colour", F.when(rate >= 0.8, "green").when(rate >= 0.6, "yellow").otherwise("red"))
+    return c.withColumn("turn", F.struct(F.array_position(F.array(*map(F.lit, ("red", "yellow", "green"))), F.col("colour")).alias("colour"), "level"))
+
+
 def diversity(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.round(F.countDistinct(value) / F.count(value), 6).alias("diversity"))
 
@@ -74,6 +81,16 @@ def kappa(ratings: DataFrame, a: str, b: str) -> DataFrame:
     return agreed.crossJoin(chance).select(F.round(F.when(pe < 1, (po - pe) / (1 - pe)), 6).alias("kappa"))
 
 
+def t_test(results: DataFrame, by: list[str], run: str, value: str) -> DataFrame:
+    """Welch's t statistic and degrees of freedom of the values of two runs (run is true or false) in each group; null without spread."""
+    side = lambda is_run: F.when(F.col(run) == is_run, F.col(value).cast("double"))
+    found = results.groupBy(*by).agg(*(f(side(r)).alias(f"{n}{int(r)}") for r in (False, True) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))))
+    e0, e1 = F.col("v0") / F.col("n0"), F.col("v1") / F.col("n1")
+    spread = F.nullif(e0 + e1, F.lit(0.0))
+    freedom = spread * spread / F.nullif(e0 * e0 / (F.col("n0") - 1) + e1 * e1 / (F.col("n1") - 1), F.lit(0.0))
+    return found.select(*by, ((F.col("m1") - F.col("m0")) / F.sqrt(spread)).alias("t"), freedom.alias("freedom"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

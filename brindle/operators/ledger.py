@@ -51,20 +51,26 @@ def state(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def delete(entries: DataFrame, kill: DataFrame) -> DataFrame:
-    """Entries without those equal in memo, amount and bucket to a row of kill."""
+    """Entries without those equal in memo, amount and bucket to a row of kill. Balances after it come from balances()."""
     return entries.join(kill.select("memo", "amount", "bucket"), ["memo", "amount", "bucket"], "left_anti")
 
 
+def deleted(entries: DataFrame, kill: DataFrame) -> DataFrame:
+    """bucket, n: how many entries delete() takes out of each bucket."""
+    gone = entries.join(kill.select("memo", "amount", "bucket"), ["memo", "amount", "bucket"], "left_semi")
+    return gone.groupBy("bucket").agg(F.count("*").alias("n"))
+
+
 def balances(entries: DataFrame, totals: DataFrame, order: list[str]) -> DataFrame:
     """Add the balance of each bucket after each entry: its total less what was spent so far."""
     spent = F.sum("amount").over(Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return entries.join(F.broadcast(totals), "bucket").withColumn("balance", (F.col("total") - spent).cast(MONEY)).drop("total")
+    return entries.join(totals, "bucket").withColumn("balance", (F.col("total") - spent).cast(MONEY)).drop("total")
 
 
 def cards(entries: DataFrame, totals: DataFrame, buckets: DataFrame) -> DataFrame:
     """One row per envelope, tightest first: total, used, remaining, whether used is shown, whether it is depleted."""
     used = entries.groupBy("bucket").agg(F.sum("amount").alias("used"))
-    out = F.broadcast(buckets).join(totals, "bucket", "left").join(used, "bucket", "left")
+    out = buckets.join(totals, "bucket", "left").join(used, "bucket", "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast(MONEY) for c in ("total", "used")}).withColumn("remaining", (F.col("total") - F.col("used")).cast(MONEY))
     return out.withColumn("show_used", (F.col("used") != 0) | (F.col("remaining") != F.col("total"))).withColumn("depleted", F.col("remaining") <= 0).orderBy("remaining", "bucket")
 
@@ -74,3 +80,18 @@ def card_text(found: DataFrame) -> DataFrame:
     row = lambda name, c: F.format_string(f"|  {name}：%s    |", F.col(c).cast("string"))
     parts = [F.lit(line), F.format_string("|  %s · %s  |", "bucket", "envelope"), F.lit(line), row("总额", "total"), F.when(F.col("show_used"), row("已用", "used")), row("剩余", "remaining"), F.when(F.col("depleted"), F.lit("|  ⚠️ 已用尽      |")), F.lit(line)]
     return found.select("bucket", "remaining", F.concat_ws("\n", *parts).alias("card"))
+
+
+def announced(actions: DataFrame, buckets: DataFrame) -> DataFrame:
+    """seq, place, line: what is said of each posting and deletion before the cards; spending is shown as negative."""
+    named = actions.where(F.col("action").isin("post", "delete")).join(buckets, "bucket", "left")
+    signed = F.concat(F.when(F.col("amount") > 0, "-").otherwise("+"), F.abs("amount").cast("string"))
+    post = F.concat(F.lit("📝 "), F.col("memo"), F.lit(" · "), F.col("envelope"), F.lit(" "), signed)
+    gone = F.concat(F.lit("🗑️ 已删除 · "), F.col("memo"), F.lit(" · "), F.col("envelope"), F.lit(" "), F.col("amount").cast("string"))
+    return named.select("seq", "place", F.when(F.col("action") == "post", post).otherwise(gone).alias("line"))
+
+
+def card_page(found: DataFrame) -> DataFrame:
+    """One row, page: the cards of one ledger's envelopes, tightest first, a blank line between them."""
+    ordered = F.array_sort(F.collect_list(F.struct("remaining", "bucket", "card")))
+    return card_text(found).agg(F.array_join(F.transform(ordered, lambda x: x["card"]), "\n\n").alias("page"))

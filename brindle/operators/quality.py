@@ -11,11 +11,13 @@ def duplicates(rows: DataFrame, name: str) -> DataFrame:
 
 
 def report(lines: DataFrame, parsed: DataFrame) -> DataFrame:
-    """One row: non-blank lines, parsed rows, duplicate names, and whether all is well."""
-    total = lines.where(F.length(F.trim("line")) > 0).agg(F.count("*").alias("lines"))
-    good = parsed.where("deadline is not null").agg(F.count("*").alias("parsed"))
-    twice = duplicates(parsed, "name").agg(F.count("*").alias("duplicate_names"))
-    return total.crossJoin(good).crossJoin(twice).withColumn("ok", (F.col("lines") == F.col("parsed")) & (F.col("duplicate_names") == 0))
+    """One row: non-blank lines, parsed rows, duplicate names, and whether all is well. One count by name, and one over it."""
+    total = lines.where(F.length(F.trim("line")) > 0).select(F.lit(True).alias("_line"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("timestamp_ntz").alias("deadline"))
+    named = total.unionByName(parsed.select(F.lit(False).alias("_line"), "name", "deadline")).groupBy("_line", "name").agg(F.count("*").alias("n"), F.count("deadline").alias("d"))
+    counted = named.agg(
+        F.coalesce(F.sum(F.when(F.col("_line"), F.col("n"))), F.lit(0)).alias("lines"), F.coalesce(F.sum(F.when(~F.col("_line"), F.col("d"))), F.lit(0)).alias("parsed"), F.count_if(~F.col("_line") & (F.col("n") > 1)).alias("duplicate_names")
+    )
+    return counted.withColumn("ok", (F.col("lines") == F.col("parsed")) & (F.col("duplicate_names") == 0))
 
 
 def same_content(as_lines: DataFrame, as_bytes: DataFrame) -> DataFrame:

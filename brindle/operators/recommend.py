@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.sizes import small
+
 # Lowest and highest difficulty by preference, and team size by context.
 DIFFICULTY = {"simple": (1, 4), "moderate": (4, 7), "complex": (7, 10)}
 TEAM = {"solo": (1, 1), "small": (2, 6), "medium": (3, 15), "large": (5, 99)}
@@ -20,7 +22,7 @@ def score(templates: DataFrame, answers: DataFrame, keywords: dict[str, list[str
     templates: id, categories, difficulty, popularity, is_common, description, best_for, team_lo, team_hi.
     answers: request, scenario, multi_scenario, difficulty_preference, team_context, specific_need.
     """
-    return _scored(answers.crossJoin(F.broadcast(templates)), keywords)
+    return _scored(answers.crossJoin(small(templates)), keywords)
 
 
 def by_class(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -36,13 +38,13 @@ def nominees(templates: DataFrame, classes: DataFrame, keywords: dict[str, list[
     Any number of templates is scored, once a class; classes is the small side.
     """
     w = Window.partitionBy("request", F.element_at("categories", 1)).orderBy(F.desc("score"), F.desc("is_common"), "id")
-    scored = _scored(templates.crossJoin(F.broadcast(classes)), keywords)
+    scored = _scored(templates.crossJoin(small(classes)), keywords)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
 
 
 def of_members(chosen: DataFrame, members: DataFrame) -> DataFrame:
     """What was chosen for each class, for each request of the class."""
-    return members.join(F.broadcast(chosen.withColumnRenamed("request", "class")), "class").drop("class")
+    return members.join(chosen.withColumnRenamed("request", "class"), "class").drop("class")
 
 
 def _scored(pairs: DataFrame, keywords: dict[str, list[str]]) -> DataFrame:
@@ -80,7 +82,7 @@ def diverse(scored: DataFrame, k: int = 3) -> DataFrame:
 def next_questions(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Questions (question_id, trigger ``key=value`` or null) to ask of each request (request, answers: map)."""
     key, value = F.split_part("trigger", F.lit("="), F.lit(1)), F.split_part("trigger", F.lit("="), F.lit(2))
-    return answers.crossJoin(F.broadcast(questions)).where(F.col("trigger").isNull() | (F.try_element_at("answers", key) == value)).select("request", "question_id")
+    return answers.crossJoin(small(questions)).where(F.col("trigger").isNull() | (F.try_element_at("answers", key) == value)).select("request", "question_id")
 
 
 def low_match(scored: DataFrame, above: float = 3.0) -> DataFrame:

@@ -40,20 +40,22 @@ def top_papers(papers: DataFrame, by: list[str], order: list[str], k: int = 3) -
 def plan_checks(steps: DataFrame) -> DataFrame:
     """Per plan: steps within 3 and 9, a first step of at most 15 minutes, every step's granularity below 3, an unbroken chain.
 
-    steps: plan_id, step, input, output, granularity, minutes; the chain holds if each input is the output before.
+    steps: plan_id, step, input, output, granularity, minutes; the chain holds if each input is the output before. With a
+    column question (whether a step asks one), questions_ok too: at most 3.
     """
     w = Window.partitionBy("plan_id").orderBy("step")
     s = steps.withColumn("_before", F.lag("output").over(w)).withColumn("_n", F.row_number().over(w))
     broken = (F.col("_n") > 1) & ~F.col("input").eqNullSafe(F.col("_before"))
     return s.groupBy("plan_id").agg(
-        F.count("*").alias("steps"), F.count("*").between(3, 9).alias("steps_ok"), (F.min_by("minutes", "step") <= 15).alias("first_ok"), F.bool_and(F.col("granularity") < 3).alias("granular_ok"), (F.count_if(broken) == 0).alias("chain_ok")
+        F.count("*").alias("steps"), F.count("*").between(3, 9).alias("steps_ok"), (F.min_by("minutes", "step") <= 15).alias("first_ok"), F.bool_and(F.col("granularity") < 3).alias("granular_ok"), (F.count_if(broken) == 0).alias("chain_ok"),
+        *([(F.count_if("question") <= 3).alias("questions_ok")] if "question" in steps.columns else []),
     )
 
 
 def quotas(items: DataFrame, quota: DataFrame, by: str, order: list[str]) -> DataFrame:
     """The first quota rows of each class; classes without a quota give none. quota is the small side."""
     ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    return ranked.join(F.broadcast(quota), by).where("rank <= quota")
+    return ranked.join(quota, by).where("rank <= quota")
 
 
 def groups_of(items: DataFrame, by: list[str], order: list[str], size: int = 5) -> DataFrame:

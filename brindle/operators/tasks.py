@@ -65,9 +65,14 @@ def ranked(tasks: DataFrame, by_name: bool = False) -> DataFrame:
     return tasks.orderBy("during_seconds", "name" if by_name else "pos")
 
 
-def numbered(tasks: DataFrame) -> DataFrame:
-    """Add the two-digit ordinal; a report of one list, so one partition."""
-    return tasks.withColumn("no", bands.ordinal(F.row_number().over(Window.orderBy("during_seconds", "pos"))))
+def numbered(tasks: DataFrame, *by: str) -> DataFrame:
+    """Add the two-digit ordinal in each list; without columns that tell lists apart, all tasks are one list, numbered in one task."""
+    return tasks.withColumn("no", bands.ordinal(F.row_number().over(Window.partitionBy(*by).orderBy("during_seconds", "pos"))))
+
+
+def folded(tasks: DataFrame) -> DataFrame:
+    """Add whether a task is overdue, so that a report folds it away from the active ones."""
+    return tasks.withColumn("folded", F.col("during_seconds") <= 0)
 
 
 def counts(tasks: DataFrame) -> DataFrame:
@@ -93,8 +98,11 @@ def dedupe_latest(tasks: DataFrame, keys: list[str], latest: list[Column]) -> Da
     return tasks.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def todo_lines(lines: DataFrame, as_of: Column) -> DataFrame:
-    """A todo list rewritten: comments on top, then the latest entry of each name by date."""
+def todo_lines(lines: DataFrame, as_of: Column, added: DataFrame | None = None) -> DataFrame:
+    """A todo list rewritten: comments on top, then the latest entry of each name by date. added lines come after all others."""
+    if added is not None:
+        last = F.lit((lines.agg(F.max("pos").alias("m")).first()["m"] or 0) + 1)
+        lines = lines.select("line", "pos").unionByName(added.select("line", (F.col("pos") + last).alias("pos")))
     comments = lines.where(F.startswith(F.trim("line"), F.lit("#"))).select("line", F.lit(0).alias("_k"), F.lit(None).cast("timestamp_ntz").alias("deadline"), "pos")
     found = dedupe_latest(good(parse(keep_task_lines(lines, comments=True), as_of)), ["name"], [F.col("deadline"), F.col("pos")])
     return comments.unionByName(found.select("line", F.lit(1).alias("_k"), "deadline", "pos")).orderBy("_k", "deadline", "pos").select("line")
@@ -122,9 +130,10 @@ def to_json(tasks: DataFrame) -> DataFrame:
 TASKS_DATA = "total_tasks bigint, categories map<string, bigint>, tasks array<struct<during_hours: double, category: string>>"
 
 
-def read_back(results: DataFrame, urgent: str = "C类") -> DataFrame:
-    """Summary of result objects (column value, JSON of TASKS_DATA): total, expired, both counts of urgent tasks."""
-    r = results.select(F.from_json("value", TASKS_DATA).alias("r")).select("r.*")
+def read_back(results: DataFrame, urgent: str = "C类", keep: list[str] | None = None) -> DataFrame:
+    """Summary of result objects (column value, JSON of TASKS_DATA): the columns to keep, total, expired, both counts of urgent tasks."""
+    keep = keep or []
+    r = results.select(*keep, F.from_json("value", TASKS_DATA).alias("r")).select(*keep, "r.*")
     late = F.filter("tasks", lambda t: t["during_hours"] <= 0)
     ahead = F.filter("tasks", lambda t: (t["category"] == urgent) & (t["during_hours"] > 0))
-    return r.select(F.col("total_tasks").alias("total"), F.size(late).alias("expired"), F.coalesce(F.try_element_at("categories", F.lit(urgent)), F.lit(0)).alias("urgent"), F.size(ahead).alias("urgent_ahead"))
+    return r.select(*keep, F.col("total_tasks").alias("total"), F.size(late).alias("expired"), F.coalesce(F.try_element_at("categories", F.lit(urgent)), F.lit(0)).alias("urgent"), F.size(ahead).alias("urgent_ahead"))

@@ -54,6 +54,12 @@ def forbidden_colours(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").rlike(FORBIDDEN).alias("forbidden"))
 
 
+def outline(pages: DataFrame) -> DataFrame:
+    """Per HTML page (page_id, html): headings, paragraphs and list items by their opening tags."""
+    n = lambda p: F.size(F.regexp_extract_all("html", F.lit(p), F.lit(0))).cast("long")
+    return pages.select("page_id", n("<h[1-6][ >]").alias("headings"), n("<p[ >]").alias("paragraphs"), n("<li[ >]").alias("items"))
+
+
 def lossless(source: DataFrame, output: DataFrame) -> DataFrame:
     """Per document: characters, headings and ids of both, and whether the output keeps them all."""
     strip = lambda c: F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", ""), r"\s+", "")

@@ -52,6 +52,16 @@ def write_state(path: str, status: str, last_update: str, report_path: str | Non
     Path(path).write_text(json.dumps({"status": status, "last_update": last_update, "report_path": report_path}), encoding="utf-8")
 
 
+def append_actions(actions: DataFrame, path: str) -> None:
+    """Add a ledger's actions (of ledger.route) to its table. Nothing is rewritten: a new total is an action like the others."""
+    actions.write.mode("append").parquet(path)
+
+
+def rewrite_todo(lines: DataFrame, path: str) -> None:
+    """Write the lines of todo_lines() in their order to a new path."""
+    lines.select(F.col("line").alias("value")).write.text(path)
+
+
 def ledger_markdown(entries: DataFrame, totals: DataFrame) -> DataFrame:
     """bucket, text: each bucket's ledger file, balances derived."""
     from brindle.operators.ledger import balances

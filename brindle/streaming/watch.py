@@ -5,42 +5,69 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _accepted(us, gap: int, last: int | None):
+    """Places of the accepted among sorted times, and the last accepted time."""
+    import numpy as np
+
+    out, at = [], 0 if last is None else int(np.searchsorted(us, last + gap))
+    while at < len(us):
+        out.append(at)
+        last = int(us[at])
+        at = max(at + 1, int(np.searchsorted(us, last + gap)))
+    return out, last
+
+
 def throttle(events: DataFrame, keys: list[str], ts: str, seconds: float) -> DataFrame:
     """Of each key's events those accepted: the first, and each that comes so long after the last accepted one.
 
-    A fold over each key's sorted times, kept as microseconds; equal times are one event.
+    One pass over each key's sorted times, in microseconds, that holds a batch at a time; equal times are one event.
     """
-    us = F.array_sort(F.collect_set(F.unix_micros(F.col(ts).cast("timestamp"))))
-    gap = round(seconds * 1_000_000)
-    zero = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
+    from collections.abc import Iterator
 
-    def step(s, t):
-        accepted = s["last"].isNull() | (t - s["last"] >= gap)
-        return F.struct(F.when(accepted, t).otherwise(s["last"]).alias("last"), F.when(accepted, F.concat(s["kept"], F.array(t))).otherwise(s["kept"]).alias("kept"))
+    gap = max(1, round(seconds * 1_000_000))
+    times = events.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us")).where("_us is not null")
+    by = Window.partitionBy(*keys).orderBy("_us")
+    ordered = times.withColumn("_first", F.row_number().over(by) == 1)
 
-    return events.groupBy(*keys).agg(us.alias("_t")).select(*keys, F.explode(F.aggregate("_t", zero, step, lambda s: s["kept"])).alias("_u")).select(*keys, F.timestamp_micros("_u").cast("timestamp_ntz").alias(ts))
+    def scan(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        last = None
+        for b in batches:
+            us = b.column(b.schema.get_field_index("_us")).to_numpy()
+            first = b.column(b.schema.get_field_index("_first")).to_numpy(zero_copy_only=False)
+            kept = []
+            cuts = np.unique([0, *np.flatnonzero(first), len(us)]).tolist()
+            for low, high in zip(cuts, cuts[1:]):
+                found, last = _accepted(us[low:high], gap, None if first[low] else last)
+                kept += [low + k for k in found]
+            yield b.take(pa.array(kept, pa.int64()))
+
+    return ordered.mapInArrow(scan, ordered.schema).select(*keys, F.timestamp_micros("_us").cast("timestamp_ntz").alias(ts))
 
 
 def throttle_stream(events: DataFrame, key: str, ts: str, seconds: float) -> DataFrame:
     """The same in a stream, in order of arrival: key (string), ts of the accepted events; the state is the last of each key."""
     import pandas as pd
 
+    gap = max(1, round(seconds * 1_000_000))
+
     def fold(k, frames, state):
         last = state.get[0] if state.exists else None
         out = []
         for frame in frames:
-            for t in frame[ts].sort_values():
-                us = int(pd.Timestamp(t).value // 1000)
-                if last is None or us - last >= seconds * 1_000_000:
-                    last = us
-                    out.append((k[0], t))
+            times = frame[ts].sort_values().reset_index(drop=True)
+            found, last = _accepted(times.astype("datetime64[us]").astype("int64").to_numpy(), gap, last)
+            out.append(times[found])
         if last is not None:
             state.update((last,))
-        yield pd.DataFrame(out, columns=["key", "ts"])
+        kept = pd.concat(out) if out else pd.Series([], dtype="datetime64[us]")
+        yield pd.DataFrame({"key": [k[0]] * len(kept), "ts": kept.to_numpy()})
 
     keyed = events.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias(ts))
     return keyed.groupBy("key").applyInPandasWithState(fold, "key string, ts timestamp", "last bigint", "append", "NoTimeout")

@@ -231,3 +231,54 @@ def test_a_json_array_is_whole_or_refused(sample, tmp_path, monkeypatch):
     with pytest.raises(ValueError):
         sinks.json_array(tasks.ranked(sample), str(tmp_path / "cut.json"))
     assert not (tmp_path / "cut.json").exists()
+
+
+def test_appended_ledger_and_rewritten_todo(spark, tmp_path):
+    path = str(tmp_path / "actions")
+    for seq, line in enumerate(["A:100 B:50", "lunch-20-a tea-5-A", "删除 tea-5-A", "book-7-B A:60", "cake-61-A"]):
+        sinks.append_actions(ledger.route(spark.createDataFrame([(seq, line)], "seq long, text string")), path)
+    actions = spark.read.parquet(path)
+    totals, stands = ledger.state(actions)
+    assert sorted((r["bucket"], float(r["amount"])) for r in stands.collect()) == [("A", 61.0), ("B", 7.0)]
+    assert {r["bucket"]: float(r["total"]) for r in totals.collect()} == {"A": 60.0, "B": 50.0}
+    said = [r["line"] for r in ledger.announced(actions, ledger.envelopes(spark)).orderBy("seq", "place").collect()]
+    assert said == ["📝 lunch · 生活 -20.00", "📝 tea · 生活 -5.00", "🗑️ 已删除 · tea · 生活 5.00", "📝 book · 学习 -7.00", "📝 cake · 生活 -61.00"]
+    page = ledger.card_page(ledger.cards(stands, totals, ledger.envelopes(spark))).first()["page"]
+    assert page.count("\n\n") == 3 and page.index("A · 生活") < page.index("C · 储值") < page.index("B · 学习") and page.count("已用尽") == 3
+    entries = spark.createDataFrame([("A", 1, "x", 5), ("A", 2, "x", 5), ("A", 3, "y", 1)], "bucket string, seq int, memo string, amount int")
+    assert [tuple(r) for r in ledger.deleted(entries, entries.where("seq = 1")).collect()] == [("A", 2)]
+    todo = tasks.todo_lines(lines(spark, "# top", "b--4/9", "a--4/8"), now(), lines(spark, "b--4/30", "c--4/1"))
+    sinks.rewrite_todo(todo, str(tmp_path / "todo"))
+    written = [x for f in sorted((tmp_path / "todo").glob("part-*")) for x in f.read_text().splitlines()]
+    assert written == ["# top", "c--4/1", "a--4/8", "b--4/30"]
+
+
+def test_broadcast_only_what_is_counted(spark):
+    from brindle.functions.sizes import small
+
+    plan = lambda n: spark.range(50).crossJoin(small(spark.range(n), 10))._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(10) and "broadcast" not in plan(11)
+
+
+def test_throttle_of_one_key_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        e = spark.range(1000).select(F.lit("k").alias("k"), F.lit(1).alias("j"), F.timestamp_micros(F.col("id") * 300_000).alias("t")).union(spark.sql("select null, 1, timestamp_micros(5L) union all select 'k', 1, null"))
+        got = watch.throttle(e, ["k", "j"], "t", 1).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len([r for r in got if r["k"] == "k"]) == 250 and len(got) == 251
+
+
+def test_priorities_and_t_test(spark):
+    cells = spark.createDataFrame([("L1", 0.9), ("L2", 0.59), ("L1", 0.3), ("L3", 0.6), ("L1", 0.79)], "level string, pass_rate double")
+    assert [(r["colour"], r["level"]) for r in evalmetrics.priorities(cells).orderBy("turn", "pass_rate").collect()] == [("red", "L1"), ("red", "L2"), ("yellow", "L1"), ("yellow", "L3"), ("green", "L1")]
+    values = [(0, v, False) for v in (1.0, 2.0, 3.0, 4.0)] + [(0, v, True) for v in (2.0, 4.0, 6.0, 8.0)] + [(1, 1.0, False), (1, 1.0, True)]
+    got = {r["g"]: r for r in evalmetrics.t_test(spark.createDataFrame(values, "g int, v double, run boolean"), ["g"], "run", "v").collect()}
+    assert abs(got[0]["t"] - 1.7320508) < 1e-6 and abs(got[0]["freedom"] - 4.4117647) < 1e-6 and got[1]["t"] is None
+
+
+def test_rules_and_folded(spark, sample, tmp_path):
+    (tmp_path / "rules.json").write_text('[{"id": 1, "name": "a"},\n {"id": 2}]', encoding="utf-8")
+    assert [tuple(r) for r in text.rules(spark, str(tmp_path / "rules.json"), "id int, name string").orderBy("id").collect()] == [(1, "a"), (2, None)]
+    assert sorted((r["pos"], r["folded"]) for r in tasks.folded(sample).collect()) == [(0, True), (1, False), (2, True)]

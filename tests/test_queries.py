@@ -41,13 +41,13 @@ def test_query_matches_sql(spark, db, name):
 
 def test_all_orders_are_tasks(spark, db):
     n = db.execute("select count(*) from orders").fetchone()[0]
-    tiles = QUERIES["q_task_tiles_all"](spark, SF).first()
-    assert tiles["total"] == n == QUERIES["q_task_cards_all"](spark, SF).count() and tiles["long_term"] > 0
+    tiles = QUERIES["q_task_tiles"](spark, SF).first()
+    assert tiles["total"] == n == QUERIES["q_task_cards"](spark, SF).count() and tiles["long_term"] > 0
 
 
 def test_whole_texts_are_routed_and_all_labels_compared(spark, db):
     longest = db.execute("select max(length(text)) from conversations where (conv_id + turn) % 6 in (0, 4, 5)").fetchone()[0]
-    assert QUERIES["q_route_all"](spark, SF).agg(F.max(F.length("args"))).first()[0] >= longest - 1 > 10
-    got = QUERIES["q_eval_regression_all"](spark, SF)
+    assert QUERIES["q_route"](spark, SF).agg(F.max(F.length("args"))).first()[0] >= longest - 1 > 10
+    got = QUERIES["q_eval_regression"](spark, SF)
     n = db.execute("select count(*) from labels").fetchone()[0]
     assert got.where("score_before is not null").count() == n == got.where("score_now is not null").count()
