@@ -1,19 +1,19 @@
 """Language ID: nearest centroid among several per language, over normalised TF-IDF vectors of character n-grams.
 
-Texts are lower-cased; letters (and marks) are kept and everything else is one blank. The n-grams are one to three
+Texts are lower-cased; letters and marks are kept and everything else is one blank. The n-grams are one to three
 UTF-8 bytes long, hashed to ``DIMENSIONS``. Document frequencies are counted over all training rows; the centroids come
-from k-means over at most ``SAMPLE_PER_LANGUAGE`` training rows of each language, those with the lowest hash of doc_id.
+from k-means over at most ``SAMPLE_PER_LANGUAGE`` training rows of each language, those with the lowest hash.
 A document is rejected if its cosine distance to the nearest centroid is beyond that centroid language's limit for
 texts of its length, or of the nearest length that its sample has.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,12 +23,12 @@ from brindle.llm.common import slices
 DIMENSIONS = 4096
 CENTROIDS = 4
 SAMPLE_PER_LANGUAGE = 600  # bound of the labelled rows that centroids are fitted on
-LANGUAGES = 256  # at most so many languages, the most frequent first
 CUTS = (2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 4096)  # text lengths in letters between which limits differ
 SLACK = 0.5  # a text is rejected below this share of the lowest similarity that training rows of its length have
 UNKNOWN = "und"
 
-NO_LETTER = re.compile(r"[\W\d_]+")
+OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 
 
 def ngrams(text: str) -> np.ndarray:
@@ -41,7 +41,9 @@ def ngrams(text: str) -> np.ndarray:
 
 
 def clean(text: str | None) -> str:
-    return NO_LETTER.sub(" ", text.lower()).strip() if text else ""
+    """Letters and marks; nothing of a text without any letter."""
+    kept = OTHER.sub(" ", text.lower()).strip() if text else ""
+    return kept if kept.isascii() or LETTER.search(kept) else ""
 
 
 def vector(text: str, idf: np.ndarray) -> np.ndarray:
@@ -86,7 +88,11 @@ def held_out() -> Column:
 
 
 def train(rows: DataFrame) -> Model | None:
-    """Fit on rows of doc_id, text, lang; those without letters or language are passed over. None without any."""
+    """Fit on rows of doc_id, text, lang; those without letters or language are passed over. None without any.
+
+    Every language that a row has can be predicted, however rare; each takes 64 KB of the model. A very long text is one
+    vector like others.
+    """
     spark = rows.sparkSession
     rows = rows.where("lang is not null and text is not null").select("doc_id", "text", "lang")
 
@@ -107,21 +113,20 @@ def train(rows: DataFrame) -> Model | None:
     if not counts[0]:
         return None
     idf = np.log((1 + counts[0]) / (1 + counts[1:])) + 1.0
-    languages = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    languages = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     # About twice the sample by hash, so that ranking the rest takes no more rows of a frequent language than of another.
-    share = F.lit(0.0)
-    for name, n in languages:
-        share = F.when(F.col("lang") == name, F.lit(2.0 * SAMPLE_PER_LANGUAGE / n)).otherwise(share)
-    few = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).where(F.pmod(F.shiftrightunsigned("_h", 11), F.lit(1 << 40)) < share * float(1 << 40))
-    few = few.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_r") <= SAMPLE_PER_LANGUAGE)
-    sample = rows.join(F.broadcast(few.select("doc_id", "lang").distinct()), ["doc_id", "lang"])  # LANGUAGES * SAMPLE_PER_LANGUAGE rows at most
+    # A row that is repeated very often has one hash; then the ranks in each partition bound what is shuffled.
+    shares = spark.createDataFrame([(x, 2.0 * SAMPLE_PER_LANGUAGE / n) for x, n in languages], "lang string, _share double")
+    hashed = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("_h")).join(shares, "lang")
+    few = hashed.where(F.pmod(F.shiftrightunsigned("_h", 11), F.lit(1 << 40)) < F.col("_share") * float(1 << 40))
+    sample = few.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_r") <= SAMPLE_PER_LANGUAGE).select("lang", "text")
 
     schema = "lang string, centroids binary, limits binary"
 
     def fit(table):
         import pyarrow as pa
 
-        texts = [t for t in map(clean, sorted((x for x in table.column("text").to_pylist()), key=lambda t: (len(t), t))) if t][: 4 * SAMPLE_PER_LANGUAGE]
+        texts = [t for t in map(clean, sorted(table.column("text").to_pylist(), key=lambda t: (len(t), t))) if t]
         if not texts:
             return pa.table({"lang": pa.array([], pa.string()), "centroids": pa.array([], pa.binary()), "limits": pa.array([], pa.binary())})
         c = kmeans(np.stack([vector(t, idf) for t in texts]), CENTROIDS)
@@ -142,15 +147,17 @@ def train(rows: DataFrame) -> Model | None:
     return Model(languages, idf, np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.stack([np.frombuffer(fitted[x]["limits"], "f8") for x in languages]))
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, keep_text: bool = True) -> DataFrame:
     """docs with lang_pred, score (cosine with the nearest centroid, 0 to 1) and rejected.
 
     A null text or one without letters is ``und``, score 0, rejected; so is every text if there is no model. Equal
-    scores go to the more frequent language. All columns of docs are kept but for those three names.
+    scores go to the more frequent language. All columns of docs are kept but for those three names, and for the text
+    where it is not wanted back; repeated rows each have their result, no rows give none.
     """
     docs = docs.drop("lang_pred", "score", "rejected")
     at = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    kept = [i for i, c in enumerate(docs.columns) if keep_text or i != at]
+    schema = StructType([docs.schema.fields[i] for i in kept]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -167,6 +174,6 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     owner = int(model.owner[b])
                     names[i], scores[i] = model.languages[owner], min(1.0, max(0.0, s))
                     rejected[i] = s < model.limits[owner, int(np.searchsorted(CUTS, len(texts[i])))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [*batch.schema.names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(names), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [*(batch.schema.names[i] for i in kept), "lang_pred", "score", "rejected"])
 
     return docs.mapInArrow(run, schema)

@@ -50,7 +50,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~langid.held_out()))
-    found = langid.predict(docs.select("doc_id", "text"), model)
+    found = langid.predict(docs.select("doc_id", "text"), model, keep_text=False)
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
