@@ -10,7 +10,6 @@ shuffled; the benchmark is read in parts of bounded size, each of which passes o
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,15 +27,9 @@ WORD[48:58] = WORD[97:123] = WORD[128:] = True
 MATCHES = "doc_id long, n_words long, matches array<struct<item: long, item_word: int, word: int, length: int>>"
 
 
-@dataclass
-class Items:
-    """Benchmark words by vocabulary id; windows are (item, first word, length)."""
-
-    ids: list[int]
-    vocabulary: np.ndarray  # sorted names
-    words: np.ndarray  # vocabulary place + 1 of each word, all items in one
-    begins: np.ndarray
-    windows: np.ndarray  # place in words, length, item index
+# Benchmark words by vocabulary id, in a plain tuple, which reads in a process that lacks this package: item ids; sorted
+# names; vocabulary place + 1 of each word, all items in one; where each item begins; windows (place, length, item index).
+Items = tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _names(column, powers: Powers):
@@ -56,7 +49,7 @@ def prepare(ids: list[int], texts: list[str], window: int) -> Items:
     for k in range(len(ids)):
         n = int(first[k + 1] - first[k])
         out += [(int(first[k]) + i, min(n, window), k) for i in range(max(1, n - window + 1))] if n else []
-    return Items(ids, vocabulary, place.astype(np.int64) + 1, first, np.array(out, np.int64).reshape(-1, 3))
+    return ids, vocabulary, place.astype(np.int64) + 1, first, np.array(out, np.int64).reshape(-1, 3)
 
 
 def _keys(words_: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -67,8 +60,9 @@ def _keys(words_: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
 
 def search(w: np.ndarray, first: np.ndarray, items: Items) -> list[list[tuple[int, int, int, int]]]:
     """For each text (words w as vocabulary places, 0 for others) the longest matches: item, item word, word, length."""
+    ids, _, item_words, begins, windows = items
     out: list[list] = [[] for _ in range(len(first) - 1)]
-    depths = np.unique(items.windows[:, 1]) if len(items.windows) else np.zeros(0, np.int64)
+    depths = np.unique(windows[:, 1]) if len(windows) else np.zeros(0, np.int64)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     for depth in depths.tolist():
         # Places from which depth words of the same text are all in the vocabulary.
@@ -80,8 +74,8 @@ def search(w: np.ndarray, first: np.ndarray, items: Items) -> list[list[tuple[in
         keys = _keys(w, at, depth)
         order = np.argsort(keys, kind="stable")  # the shard's suffix array, to this depth
         array = keys[order]
-        tests = items.windows[items.windows[:, 1] == depth]
-        wanted = _keys(items.words, tests[:, 0], depth)
+        tests = windows[windows[:, 1] == depth]
+        wanted = _keys(item_words, tests[:, 0], depth)
         low, high = np.searchsorted(array, wanted, "left"), np.searchsorted(array, wanted, "right")
         count = high - low
         hit = np.repeat(np.arange(len(tests)), count)
@@ -89,7 +83,7 @@ def search(w: np.ndarray, first: np.ndarray, items: Items) -> list[list[tuple[in
             continue
         places = at[order[np.repeat(low, count) + np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count)]]
         item = tests[hit, 2]
-        offset = tests[hit, 0] - items.begins[item]
+        offset = tests[hit, 0] - begins[item]
         # Windows of one item that follow each other on both sides are one longer match.
         diagonal = places - offset
         by = np.lexsort((places, diagonal, item, text[places]))
@@ -100,22 +94,24 @@ def search(w: np.ndarray, first: np.ndarray, items: Items) -> list[list[tuple[in
         length = np.diff(begin, append=len(by)) - 1 + depth
         for i, n_ in zip(begin.tolist(), length.tolist()):
             t = int(own[i])
-            out[t].append((items.ids[item[i]], int(offset[i]), int(places[i] - first[t]), n_))
+            out[t].append((ids[item[i]], int(offset[i]), int(places[i] - first[t]), n_))
     return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES, marks: tuple[str, ...] = ()) -> DataFrame:
     """Longest verbatim matches of each document: doc_id, n_words, matches (array of item, item_word, word, length in words).
 
     A match has at least ``window`` words, or is a whole shorter item. Null texts have no words; items without words or
-    id match nothing. Repeated documents and items are each found; other columns are ignored.
+    id match nothing. Repeated documents and items are each found; equal items give a match each. A very long text is
+    searched alone, in the memory of one task. No documents give no rows, no items no matches. Other columns are ignored,
+    but for marks (longs), which each row keeps.
     """
     benchmark = benchmark.where("item_id is not null").select("item_id", "text")
     size = benchmark.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     parts = -(-size // part_bytes) or 1
-    docs, schema = docs.select("doc_id", "text"), MATCHES
+    docs, schema = docs.select("doc_id", "text", *marks), MATCHES + "".join(f", {m} long" for m in marks)
     if parts > 1:  # numbered once and written, so that a row has the same number in each pass
-        docs, schema = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered"), f"{MATCHES}, _row long"
+        docs, schema = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered"), f"{schema}, _row long"
     found = None
     for k in range(parts):
         some = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else benchmark
@@ -129,9 +125,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_by
             for batch in slices(batches, "text", 2 << 20):
                 with np.errstate(over="ignore"):
                     names, first = _names(batch.column(1), powers)
-                place = np.searchsorted(it.vocabulary, names)
-                if len(it.vocabulary):
-                    ok = it.vocabulary[np.minimum(place, len(it.vocabulary) - 1)] == names
+                place = np.searchsorted(it[1], names)
+                if len(it[1]):
+                    ok = it[1][np.minimum(place, len(it[1]) - 1)] == names
                     w = np.where(ok, place + 1, 0)
                 else:
                     w = np.zeros(len(names), np.int64)
@@ -143,7 +139,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_by
         part = docs.mapInArrow(scan, schema)
         found = part if found is None else found.unionByName(part)
     if parts > 1:  # the parts' matches of a row meet again; each part gives each row once
-        found = found.groupBy("_row", "doc_id", "n_words").agg(F.flatten(F.collect_list("matches")).alias("matches")).drop("_row")
+        found = found.groupBy("_row", "doc_id", "n_words", *marks).agg(F.flatten(F.collect_list("matches")).alias("matches")).drop("_row")
     return found
 
 
@@ -158,8 +154,9 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the documents that hold a window of any item. Rows whose doc_id is null stay."""
-    bad = matches(docs, benchmark, window).where("size(matches) > 0").select("doc_id").distinct()
+    """docs without the rows whose text holds a window of any item, whatever their doc_id; a null text stays."""
+    marks = {"_mark1": F.xxhash64("text"), "_mark2": F.xxhash64(F.lit(1), "text")}  # of the text: equal texts match alike
+    bad = matches(docs.withColumns(marks), benchmark, window, marks=tuple(marks)).where("size(matches) > 0").select(*marks).distinct()
     # Written first, so that its size decides whether it is broadcast.
     bad = materialize(bad, "contaminated")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.withColumns(marks).join(bad, [*marks], "left_anti").select(*docs.columns)
