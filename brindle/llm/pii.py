@@ -1,10 +1,11 @@
 """Personal data: checked base patterns as seeds, and bootstrapped contextual extraction of identifiers that they miss.
 
-Every match of a base pattern is a seed. What stands before a seed, its last word and the signs after it, is a lexical
-pattern. Other identifier-like tokens are instances without a kind. Patterns and instance values form a graph; in each
-round a pattern's confidence in a kind is the share of its occurrences that are instances of that kind, and an instance's
-is that of its best pattern. After the rounds, patterns of high confidence and enough distinct seeds give their kind to the
-tokens behind them, provided that the token can be of that kind at all. Everything here is built from SQL functions.
+Every match of a base pattern is a seed. What stands before a seed, the last word and the signs after it, and what stands
+behind it, the signs and the next word, are lexical patterns. Other identifier-like tokens are instances without a kind.
+Patterns and instance values form a graph; in each round a pattern's confidence in a kind is the share of its occurrences
+that are instances of that kind, and an instance's is that of its best pattern. After the rounds, patterns of high
+confidence and enough distinct seeds give their kind to the tokens beside them, provided that the token can be of that kind
+at all. Everything here is built from SQL functions.
 """
 
 from __future__ import annotations
@@ -26,10 +27,16 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-# A token that may be an identifier: digits and signs between blanks, or something with an at sign.
-TOKEN = r"(?<![A-Za-z0-9@._%+/-])(?:[+(]?[0-9][0-9()./-]{4,38}[0-9]|[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,64})(?![A-Za-z0-9@/-])"
-CONTEXT = r"(\p{L}+[^\p{L}\p{N}\s]{0,3}\s?)$"
+# A token that may be an identifier: something with an at sign, or digits and signs, with single blanks between them. It
+# takes all that it can, and is one only if what stands right before and behind it is no part of a longer word.
+TOKEN = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++|[+(]?[0-9](?:\x20?[()./-]*+[0-9])++"
+APART = r"[A-Za-z0-9@._%+/-]"
+LEAST_CHARS = 6  # of a token of digits
+# The last word before, and the first word behind, each with the signs between; of longer words the near end.
+BEFORE = r"(\p{L}+[^\p{L}\p{N}\s]{0,3}\s?)$"
+BEHIND = r"^(\s?[^\p{L}\p{N}\s]{0,3}\s?\p{L}+)"
 CONTEXT_CHARS = 32
+CHUNK = 256  # matches of a text that are put together at a time, so that the work grows in proportion to them
 
 
 @dataclass(frozen=True)
@@ -68,40 +75,63 @@ def passing(kind: str):
     return lambda s: valid(kind, s["value"])
 
 
+SPANS = "array<struct<start: bigint, end: bigint, value: string, left: string, right: string>>"
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def located(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches: array of start and end in code points, and value."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kind = "array<struct<start: bigint, end: bigint, value: string>>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("spans"))
+    """All leftmost non-overlapping matches: array of start and end in code points, value, and the text before and behind, up to CONTEXT_CHARS and the next match."""
+    nothing = F.array().cast(SPANS)
 
     def step(s: Column, x: Column) -> Column:
         begin = s["at"] + F.length(x["gap"])
         end = begin + F.length(x["value"])
-        one = F.struct(begin.cast("bigint").alias("start"), end.cast("bigint").alias("end"), x["value"].alias("value"))
-        return F.struct(end.cast("bigint").alias("at"), F.concat(s["spans"], F.array(one)).alias("spans"))
+        one = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["gap"], F.lit(CONTEXT_CHARS)).alias("left"), F.left(x["next"], F.lit(CONTEXT_CHARS)).alias("right"))
+        return F.struct(end.alias("at"), F.concat(s["spans"], F.array(one)).alias("spans"))
+
+    def chunked(x: Column) -> Column:
+        n = F.size(x["found"])
+        behind = F.zip_with(x["found"], F.slice(x["gaps"], F.lit(2), n), lambda v, g: F.struct(v.alias("value"), g.alias("next")))
+        pairs = F.zip_with(F.slice(x["gaps"], F.lit(1), n), behind, lambda g, v: F.struct(g.alias("gap"), v["value"].alias("value"), v["next"].alias("next")))
+        return let(pairs, lambda p: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda k: F.slice(p, k * CHUNK + 1, F.lit(CHUNK))))
+
+    def put_together(chunks: Column) -> Column:
+        sizes = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x["gap"]) + F.length(x["value"])))
+
+        def of(begins: Column):
+            return lambda c, k: F.aggregate(c, F.struct(F.aggregate(F.slice(begins, F.lit(1), k), F.lit(0).cast("bigint"), lambda n, y: n + y).alias("at"), nothing.alias("spans")), step, lambda s: s["spans"])
 
-    pairs = F.zip_with(F.split(text, pattern, -1), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    spans = F.aggregate(F.slice(pairs, 1, F.size(found)), zero, step, lambda s: s["spans"])
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(kind))
+        return let(sizes, lambda z: F.flatten(F.transform(chunks, of(z))))
+
+    def matched(found: Column) -> Column:
+        both = F.struct(F.split(text, pattern, -1).alias("gaps"), found.alias("found"))
+        return F.when(F.size(found) == 0, nothing).otherwise(let(let(both, chunked), put_together))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), matched)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """docs with _base (array of kind, start, end, value, context) and _other (tokens without a kind that overlap no base span)."""
+    """docs with _base (array of kind, start, end, value, contexts) and _other (tokens without a kind that overlap no base span)."""
     text = F.coalesce("text", F.lit(""))
     needs = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": F.lit(True), "phone": F.contains(text, F.lit("+"))}
 
-    def before(s: Column) -> Column:
-        cut = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        return F.lower(F.regexp_extract(F.substr(text, (cut + 1).cast("int"), (s["start"] - cut).cast("int")), CONTEXT, 1))
-
     def full(kind: str | None):
-        return lambda s: F.struct(F.lit(kind).cast("string").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), before(s).alias("context"))
+        def of(s: Column) -> Column:
+            before, behind = F.regexp_extract(s["left"], BEFORE, 1), F.regexp_extract(s["right"], BEHIND, 1)
+            contexts = F.filter(F.array(F.concat(F.lit("<"), F.lower(before)), F.concat(F.lit(">"), F.lower(behind))), lambda c: F.length(c) > 1)
+            return F.struct(F.lit(kind).cast("string").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), contexts.alias("contexts"))
 
-    empty = "array<struct<start: bigint, end: bigint, value: string>>"
-    docs = docs.withColumns({f"_{k}": F.when(needs[k], located(text, PATTERNS[k])).otherwise(F.array().cast(empty)) for k in KINDS} | {"_token": located(text, TOKEN)})
+        return of
+
+    docs = docs.withColumns({f"_{k}": F.when(needs[k], located(text, PATTERNS[k])).otherwise(F.array().cast(SPANS)) for k in KINDS} | {"_token": located(text, TOKEN)})
     base = F.concat(*(F.transform(F.filter(f"_{k}", passing(k)), full(k)) for k in KINDS))
     docs = docs.withColumn("_base", base)
-    free = F.filter("_token", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    apart = lambda s: ~F.right(s["left"], F.lit(1)).rlike(APART) & ~F.left(s["right"], F.lit(1)).rlike(r"[A-Za-z0-9@/-]") & ((F.length(s["value"]) >= LEAST_CHARS) | F.contains(s["value"], F.lit("@")))
+    free = F.filter(F.filter("_token", apart), lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return docs.withColumn("_other", F.transform(free, full(None))).drop("_token", *(f"_{k}" for k in KINDS))
 
 
@@ -118,7 +148,7 @@ def fits(kind: Column, value: Column) -> Column:
 
 def discover(found: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
     """Patterns of high confidence: context, kind. found has the arrays of scan()."""
-    seen = found.select(F.explode(F.concat("_base", "_other")).alias("x")).where("x.context <> ''").select("x.context", "x.value", "x.kind")
+    seen = found.select(F.explode(F.concat("_base", "_other")).alias("x")).select(F.explode("x.contexts").alias("context"), "x.value", "x.kind")
     edges = materialize(seen.groupBy("context", "value", "kind").agg(F.count("*").alias("n")), "edges")
     seeds = edges.where("kind is not null").groupBy("context", "kind").agg(F.count("*").alias("seeds"))
     totals = edges.groupBy("context").agg(F.sum("n").alias("total"))
@@ -140,7 +170,8 @@ def discover(found: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
 def find(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
     """The columns of docs but text, with spans: array of kind, start, end (code points), base; by kind as in KINDS, then start.
 
-    A null text is empty. Rows are taken as they come, repeated ones each for itself; no rows give no rows.
+    A null text is empty. Rows are taken as they come, repeated ones each for itself; no rows give no rows. A column
+    spans of docs gives way, other names may clash. A very long text is one row and must fit a task.
     """
     found = materialize(scan(_apart(docs)).drop("text"), "found")
     kept = [f"_doc.`{c}`" for c in docs.columns if c not in ("text", "spans")]
@@ -154,8 +185,9 @@ def _apart(docs: DataFrame) -> DataFrame:
 
 
 def _with_spans(found: DataFrame, patterns: DataFrame) -> DataFrame:
-    more = found.select("_row", F.explode("_other").alias("x")).join(patterns.select(F.col("context").alias("_c"), F.col("kind").alias("_k")), F.col("x.context") == F.col("_c"))
-    more = more.where(fits(F.col("_k"), F.col("x.value"))).groupBy("_row").agg(F.collect_set(F.struct(F.col("_k").alias("kind"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))).alias("_more"))
+    one = found.select("_row", F.explode("_other").alias("x")).select("_row", "x.start", "x.end", "x.value", F.explode("x.contexts").alias("_c"))
+    more = one.join(patterns.select(F.col("context").alias("_c"), F.col("kind").alias("_k")), "_c").where(fits(F.col("_k"), F.col("value")))
+    more = more.groupBy("_row").agg(F.collect_set(F.struct(F.col("_k").alias("kind"), "start", "end")).alias("_more"))
     ranked = lambda a, base: F.transform(a, lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(base).alias("base")))
     joined = found.join(more, "_row", "left")
     every = F.concat(ranked("_base", True), F.coalesce(ranked("_more", False), F.array().cast("array<struct<order: bigint, start: bigint, end: bigint, kind: string, base: boolean>>")))
@@ -165,19 +197,26 @@ def _with_spans(found: DataFrame, patterns: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
     """docs with each found span's text replaced by its kind in brackets, as in ``[email]``; overlapping spans become one, named by the first.
 
-    A null text stays null. Columns and rows are those of docs.
+    A null text stays null. Columns and rows are those of docs, repeated ones too; no rows give no rows.
     """
     held = materialize(scan(_apart(docs)), "held")
     spans = _with_spans(held.drop("text").select("_row", "_base", "_other"), discover(held, how)).where("size(spans) > 0").select("_row", "spans")
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substr("text", (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
-        new = F.concat(state["out"], gap, F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], new).otherwise(state["out"]).alias("out"))
-
-    text = F.aggregate(by_place, zero, step, lambda s: F.concat(s["out"], F.substr("text", (s["at"] + 1).cast("int"), F.length("text"))))
+    kind = "array<struct<start: bigint, end: bigint, kind: string>>"
+
+    # Overlapping spans become one, then the pieces between them are joined.
+    def step(m: Column, s: Column) -> Column:
+        open_ = (F.size(m["done"]) >= 0) & m["last"].isNotNull()
+        over = open_ & (s["start"] < m["last"]["end"])
+        wider = F.struct(m["last"]["start"].alias("start"), F.greatest(m["last"]["end"], s["end"]).alias("end"), m["last"]["kind"].alias("kind"))
+        return F.struct(F.when(open_ & ~over, F.concat(m["done"], F.array(m["last"]))).otherwise(m["done"]).alias("done"), F.when(over, wider).otherwise(s).alias("last"))
+
+    zero = F.struct(F.array().cast(kind).alias("done"), F.lit(None).cast("struct<start: bigint, end: bigint, kind: string>").alias("last"))
+    merged = F.aggregate(by_place, zero, step, lambda m: F.concat(m["done"], F.array(m["last"])))
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(merged, lambda s: s["end"]))
+    cut = lambda a, b: F.substr("text", (a + 1).cast("int"), (b - a).cast("int"))
+    pieces = F.zip_with(merged, F.slice(ends, F.lit(1), F.size(merged)), lambda s, at: F.concat(cut(at, s["start"]), F.lit("["), s["kind"], F.lit("]")))
+    text = F.concat(F.array_join(pieces, ""), cut(F.element_at(ends, -1), F.length("text")))
     return held.join(spans, "_row", "left").withColumn("text", F.when(F.col("spans").isNotNull(), text).otherwise(F.col("text"))).select(*(F.col("text" if c == "text" else f"_doc.`{c}`") for c in docs.columns))
 
 
