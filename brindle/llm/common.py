@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import sys
 import tempfile
 import uuid
@@ -15,9 +14,12 @@ cloudpickle.register_pickle_by_value(sys.modules["brindle.llm"])
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a new one where it is unset, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a new one where it is unset, which only a session in one process may leave so."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         folder = tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -34,24 +36,13 @@ def materialize(df: DataFrame, name: str, keep: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_roots: list[str] = []
-
-
 def delete_at_exit(spark: SparkSession, root: str) -> None:
-    """Delete a folder when the session stops or Python ends."""
-    if not _roots:
-        atexit.register(_clean)
-    _roots.append(root)
-
-
-def _clean() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is None or spark.sparkContext._jsc is None:
-        return
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for root in _roots:
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(conf).delete(path, True)
+    """Delete a folder when its session's JVM ends, however that comes about."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
 
 
 def drop(df: DataFrame) -> None:

@@ -195,3 +195,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     found = materialize(texts.select("node", "n").join(known.join(lowest, "component").select("node", "lowest"), "node", "left"), "found")
     component = F.when(F.col("n") > 0, F.coalesce("lowest", "rep")).otherwise(F.col("doc_id"))
     return blocks.classes().join(found, "node").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of linked texts, that with the lowest doc_id (of several texts of it, the lowest by SHA-256).
+
+    Repeated rows of that doc_id and text count once, the first by their other columns written as JSON. Rows without words
+    or without a doc_id are linked with nothing and all stay. Columns are those of docs, whatever their names.
+    """
+    blocks, texts = features(docs, width, percent)
+    group = blocks.texts.join(texts.where("n > 0").select("node"), "node").join(linked(texts, percent), "node", "left")
+    first = group.groupBy(F.coalesce("component", "node").alias("g")).agg(F.min(F.struct("rep", "_digest")).alias("x")).select(F.col("x.rep").alias("_id"), "x._digest")
+    rows = blocks.rows.groupBy(F.col("doc_id").alias("_id"), "_digest").agg((F.count("*") > 1).alias("_repeated"))
+    first = materialize(first.join(rows, ["_id", "_digest"]), "representatives")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    counts = F.col("_id").isNotNull() & F.coalesce(F.col("_text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = whole.where(counts).withColumn("_digest", F.unhex(F.sha2("_text", 256))).join(first, ["_id", "_digest"])
+    once = kept.where("_repeated").groupBy("_id", "_digest").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc"))
+    return whole.where(~counts).select("_doc").union(kept.where("not _repeated").select("_doc")).union(once.select("_doc")).select(*(F.col(f"_doc.`{c}`") for c in docs.columns))

@@ -92,6 +92,23 @@ def test_decontamination_keeps_each_row_with_any_number_of_parts(spark):
     assert rows[0] == rows[1] and len(rows[1]) == 6 and sum(r["contaminated"] for r in rows[1]) == 3
 
 
+WORKER = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://" + sys.argv[2]).config("spark.executorEnv.PYTHONPATH", "").getOrCreate()
+from brindle.llm import decontam, langid
+d = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven", "en")], "doc_id long, text string, lang string")
+b = spark.createDataFrame([(5, "two three four five six seven eight nine ten eleven")], "item_id long, text string")
+print(decontam.matches(d, b).first()["matches"][0]["length"], langid.predict(d, langid.train(d)).first()["lang_pred"])
+"""
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    said = subprocess.run([sys.executable, "-c", WORKER, str(ROOT), str(tmp_path)], capture_output=True, text=True, cwd=tmp_path)
+    assert said.stdout.split() == ["10", "en"], said.stderr[-2000:]
+
+
 def test_longest_matches_span_windows(spark):
     d = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40)))], "doc_id long, text string")
     b = spark.createDataFrame([(5, " ".join(f"w{i}" for i in range(8, 30)))], "item_id long, text string")
@@ -145,12 +162,45 @@ def test_personal_data(spark, docs, empty):
 
 
 def test_bootstrap_discovers(spark):
-    seeds = [(i, f"call Rufnummer: +49 30 {1000000 + i} now") for i in range(8)]
-    unseen = [(100, "die Rufnummer: 030/5551234 heute"), (101, "die Menge 030/5551234 heute"), (102, "ohne")]
+    seeds = [(i, f"call Rufnummer: +49 30 {1000000 + i} now") for i in range(8)] + [(50 + i, f"+49 30 {2000000 + i} ist privat") for i in range(8)]
+    unseen = [(100, "die Rufnummer: 030/5551234 heute"), (101, "die Menge 030/5551234 heute"), (102, "ohne"), (103, "Rufnummer: 030 555 12 34"), (104, "unter 030-5551234 ist man da")]
+    unseen += [(105, "Rufnummer: " + "(" * 50 + "030" + "-" * 60 + "5551234"), (106, "Rufnummer: x030/5551234 und Rufnummer: 030/5551234x")]
     d = spark.createDataFrame(seeds + unseen, "doc_id long, text string")
     got = {r["doc_id"]: r["spans"] for r in pii.summary(pii.find(d)).collect()}
-    assert got[100] == "phone:15:26" and got[101] == "" and got[102] == ""
-    assert {r["doc_id"]: r["text"] for r in pii.redact(d).collect()}[100] == "die Rufnummer: [phone] heute"
+    assert got[100] == "phone:15:26" and got[101] == "" and got[102] == "" and got[103] == "phone:11:24" and got[104] == "phone:6:17"
+    assert got[105] == "" and got[106] == ""
+    out = {r["doc_id"]: r["text"] for r in pii.redact(d).collect()}
+    assert out[100] == "die Rufnummer: [phone] heute" and out[103] == "Rufnummer: [phone]" and out[104] == "unter [phone] ist man da"
+
+
+def test_bootstrap_finds_unseen_identifiers_in_real_documents(spark):
+    """Numbers in forms that the base patterns miss, planted in real texts where base ones stand."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text is not null").orderBy("doc_id").collect()
+    rng = random.Random(5)
+    planted, made = {}, []
+    for r in rows:
+        words = r["text"].split(" ")
+        at = rng.randrange(len(words) + 1)
+        if r["doc_id"] % 50 == 1:
+            words[at:at] = ["Kontakt:", f"+49 40 {rng.randrange(10**6, 10**7)}"]
+        elif r["doc_id"] % 50 == 2:
+            before = " ".join([*words[:at], "Kontakt: "])
+            number = f"040/{rng.randrange(10**6, 10**7)}"
+            planted[r["doc_id"]] = f"phone:{len(before)}:{len(before) + len(number)}"
+            words[at:at] = ["Kontakt:", number]
+        made.append((r["doc_id"], " ".join(words)))
+    found = {r["doc_id"]: r for r in pii.summary(pii.find(spark.createDataFrame(made, "doc_id long, text string"))).collect()}
+    assert len(planted) > 10 and all(span in found[d]["spans"].split(",") for d, span in planted.items())
+    more = {d for d, r in found.items() if hashlib.sha256(r["spans"].encode()).hexdigest() != r["base_sha256"]}
+    assert more == set(planted)
+
+
+def test_personal_data_of_very_many_matches(spark):
+    d = spark.createDataFrame([(1, "a@b.co, " * 20_000), (2, "1 " * 40_000 + "x"), (3, "1 (" * 30_000), (4, "tel 12-34" * 10_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.summary(pii.find(d)).collect()}
+    said = ",".join(f"email:{8 * k}:{8 * k + 6}" for k in range(20_000))
+    assert got[1]["n_email"] == 20_000 and got[1]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest() and got[1]["spans"] == said
+    assert {r["doc_id"]: r["text"] for r in pii.redact(d).collect()}[1] == "[email], " * 20_000
 
 
 def removed(texts, length=50):
@@ -282,14 +332,24 @@ def test_language_id(spark, empty):
     got = langid.predict(d, model).where(langid.held_out()).select("lang", "lang_pred", "rejected").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97
     assert np.mean([r["rejected"] for r in got]) < 0.01
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !"), (4, "the"), (5, "日本語のテキスト" * 30), (6, "der " * 50_000)], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !"), (4, "the"), (5, "日本語のテキスト" * 30), (6, "der " * 50_000), (7, "²½Ⅷ①"), (8, "\u0301\u094d")], "doc_id long, text string")
     out = {r["doc_id"]: r for r in langid.predict(odd, model).collect()}
-    assert [out[k]["lang_pred"] for k in (1, 2, 3)] == ["und"] * 3 and out[5]["rejected"] and out[4]["lang_pred"] == "en" and not out[4]["rejected"]
+    assert langid.clean("हिन्दी, 12 Ⅷ") == "हिन्दी" and langid.predict(odd, model, keep_text=False).columns == ["doc_id", "lang_pred", "score", "rejected"]
+    assert [out[k]["lang_pred"] for k in (1, 2, 3, 7, 8)] == ["und"] * 5 and out[5]["rejected"] and out[4]["lang_pred"] == "en" and not out[4]["rejected"]
     assert langid.train(empty) is None and langid.train(d.withColumn("lang", F.lit(None).cast("string"))) is None
-    assert langid.predict(odd, None).where("lang_pred = 'und' and rejected").count() == 6
+    assert langid.predict(odd, None).where("lang_pred = 'und' and rejected").count() == 8
     assert langid.predict(empty, model).count() == 0
 
 
+def test_language_id_of_very_many_languages_and_repeats(spark):
+    """No language is too rare to be predicted, and a row that is repeated very often takes no other row's place."""
+    made = [(i, " ".join(f"{chr(0x4E00 + i)}{chr(0x4E00 + (7 * i + k) % 300)}" for k in range(20)), f"x{i:03d}") for i in range(300)] + [(9, "a row that is here very often", "zz")] * 3000
+    d = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(4)
+    model = langid.train(d)
+    assert len(model.languages) == 301
+    assert langid.predict(d, model).where("lang <> lang_pred").count() == 0
+
+
 def test_language_id_rejects_after_short_texts_only(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(d.where(~langid.held_out()).withColumn("text", F.substr("text", F.lit(1), F.lit(100))))

@@ -51,3 +51,26 @@ def test_stages_of_nothing(spark, world):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, world[0])
         assert out.count() == 0, name
+
+
+def test_stages_with_repeated_rows_and_other_columns(spark, world):
+    """Repeated rows, clashing ids, null ids, columns with the names that stages use themselves."""
+    sf, rows = world
+    base = [r for r in sorted(rows.values()) if r[1] and len(r[1]) > 300 and r[0] < 60]
+    a, b = base[0], base[1]
+    made = [(*r[:4], k, "x", "y") for k, r in enumerate(base)] * 2
+    made += [(a[0], f"{b[1]} more", *a[2:4], 1, "x", "y"), (None, a[1], "en", "s", 7, "x", "y"), (None, None, None, None, None, None, None), (7000, None, None, "s", None, "x", "y"), (7000, a[1], "en", "s", 3, "x", "y")]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, spans long, _digest string, _doc string")
+    out = materialize(corpus_pipeline.STAGES[0][1](spark, docs, sf), "a")
+    assert out.columns == docs.columns and out.count() == len(made) - 2
+    near = materialize(corpus_pipeline.STAGES[1][1](spark, out, sf), "b")
+    assert near.columns == docs.columns
+    from tests.llm.test_operators import groups_of
+
+    found = groups_of({r[0]: r[1] for r in base})
+    kept = sorted(((r["doc_id"], r["text"]) for r in near.collect()), key=repr)
+    assert kept == sorted([(r[0], r[1]) for r in base if found[r[0]][1] == r[0]] + [(None, a[1])], key=repr)
+    for name, stage in corpus_pipeline.STAGES[2:4]:
+        near = materialize(stage(spark, near, sf), name)
+        assert near.columns == docs.columns
+    assert corpus_pipeline.STAGES[4][1](spark, near, sf).where("doc_id is null").count() > 0
