@@ -1,7 +1,8 @@
 """A training corpus from documents: language, near duplicates, benchmark passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a table, which is written as Parquet and read again as the next one's
-docs. All but the last return the columns of documents. Rows without a doc_id pass the stages that decide by document.
+docs. All but the last return the columns of documents, other ones too if there are any. Rows without a doc_id are each a
+document of their own.
 """
 
 from __future__ import annotations
@@ -22,20 +23,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the lowest doc_id; of rows with one doc_id one stays."""
-    kept = jaccard.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    some = docs.join(materialize(kept, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return some.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near duplicates stays, the one with the lowest doc_id; rows that repeat it go too."""
+    return jaccard.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Rows whose text holds a benchmark window go."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Personal data is replaced by its kind, and n_chars, if there is such a column, is counted again."""
+    clean = pii.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
