@@ -83,6 +83,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def chunks(array: Column) -> Column:
+    """An array cut into arrays of CHUNK elements; none of an empty one."""
+    last = lambda a: F.greatest(F.lit(0), F.floor((F.size(a) - 1) / CHUNK).cast("int"))
+    cut = lambda a: F.transform(F.sequence(F.lit(0), last(a)), lambda k: F.slice(a, k * CHUNK + 1, F.lit(CHUNK)))
+    return let(array, lambda a: F.filter(cut(a), lambda c: F.size(c) > 0))
+
+
 def located(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches: array of start and end in code points, value, and the text before and behind, up to CONTEXT_CHARS and the next match."""
     nothing = F.array().cast(SPANS)
@@ -97,15 +104,15 @@ def located(text: Column, pattern: str) -> Column:
         n = F.size(x["found"])
         behind = F.zip_with(x["found"], F.slice(x["gaps"], F.lit(2), n), lambda v, g: F.struct(v.alias("value"), g.alias("next")))
         pairs = F.zip_with(F.slice(x["gaps"], F.lit(1), n), behind, lambda g, v: F.struct(g.alias("gap"), v["value"].alias("value"), v["next"].alias("next")))
-        return let(pairs, lambda p: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda k: F.slice(p, k * CHUNK + 1, F.lit(CHUNK))))
+        return chunks(pairs)
 
-    def put_together(chunks: Column) -> Column:
-        sizes = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x["gap"]) + F.length(x["value"])))
+    def put_together(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x["gap"]) + F.length(x["value"])))
 
         def of(begins: Column):
             return lambda c, k: F.aggregate(c, F.struct(F.aggregate(F.slice(begins, F.lit(1), k), F.lit(0).cast("bigint"), lambda n, y: n + y).alias("at"), nothing.alias("spans")), step, lambda s: s["spans"])
 
-        return let(sizes, lambda z: F.flatten(F.transform(chunks, of(z))))
+        return let(sizes, lambda z: F.flatten(F.transform(parts, of(z))))
 
     def matched(found: Column) -> Column:
         both = F.struct(F.split(text, pattern, -1).alias("gaps"), found.alias("found"))
@@ -131,8 +138,15 @@ def scan(docs: DataFrame) -> DataFrame:
     base = F.concat(*(F.transform(F.filter(f"_{k}", passing(k)), full(k)) for k in KINDS))
     docs = docs.withColumn("_base", base)
     apart = lambda s: ~F.right(s["left"], F.lit(1)).rlike(APART) & ~F.left(s["right"], F.lit(1)).rlike(r"[A-Za-z0-9@/-]") & ((F.length(s["value"]) >= LEAST_CHARS) | F.contains(s["value"], F.lit("@")))
-    free = F.filter(F.filter("_token", apart), lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return docs.withColumn("_other", F.transform(free, full(None))).drop("_token", *(f"_{k}" for k in KINDS))
+    meets = lambda a, b: (b["start"] < a["end"]) & (a["start"] < b["end"])
+
+    def free(c: Column) -> Column:
+        """The tokens of a chunk that overlap no base span; only spans near the chunk are looked at."""
+        whole = F.struct(c[0]["start"].alias("start"), F.element_at(c, -1)["end"].alias("end"))
+        return let(F.filter("_base", lambda b: meets(whole, b)), lambda near: F.filter(c, lambda s: ~F.exists(near, lambda b: meets(s, b))))
+
+    tokens = F.transform(chunks(F.filter("_token", apart)), free)
+    return docs.withColumn("_other", F.transform(F.flatten(tokens), full(None))).drop("_token", *(f"_{k}" for k in KINDS))
 
 
 def fits(kind: Column, value: Column) -> Column:
@@ -155,6 +169,8 @@ def discover(found: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
     # Patterns without enough seeds of a kind can never give it.
     alive = seeds.where(F.col("seeds") >= how.seeds).join(totals, "context")
     alive = materialize(alive, "patterns")
+    if not alive.limit(1).count():
+        return alive.select("context", "kind")
     own = edges.where("kind is not null").join(alive, ["context", "kind"]).groupBy("context", "kind").agg(F.sum("n").alias("sure"))
     score = materialize(alive.join(own, ["context", "kind"]).select("context", "kind", "sure", "total", (F.col("sure") / (F.col("total") + how.smoothing)).alias("score")), "score")
     loose = materialize(edges.where("kind is null").join(alive.select("context").distinct(), "context").select("context", "value", "n"), "loose")
@@ -212,11 +228,22 @@ def redact(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
         return F.struct(F.when(open_ & ~over, F.concat(m["done"], F.array(m["last"]))).otherwise(m["done"]).alias("done"), F.when(over, wider).otherwise(s).alias("last"))
 
     zero = F.struct(F.array().cast(kind).alias("done"), F.lit(None).cast("struct<start: bigint, end: bigint, kind: string>").alias("last"))
-    merged = F.aggregate(by_place, zero, step, lambda m: F.concat(m["done"], F.array(m["last"])))
-    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(merged, lambda s: s["end"]))
-    cut = lambda a, b: F.substr("text", (a + 1).cast("int"), (b - a).cast("int"))
-    pieces = F.zip_with(merged, F.slice(ends, F.lit(1), F.size(merged)), lambda s, at: F.concat(cut(at, s["start"]), F.lit("["), s["kind"], F.lit("]")))
-    text = F.concat(F.array_join(pieces, ""), cut(F.element_at(ends, -1), F.length("text")))
+    merge = lambda a: F.aggregate(a, zero, step, lambda m: F.concat(m["done"], F.array(m["last"])))
+    cut = lambda t, a, b: F.substr(t, (a + 1).cast("int"), (b - a).cast("int"))
+    pairs = lambda a: F.zip_with(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(a, F.lit(2), F.size(a)), lambda x, y: y["start"] < x["end"])
+    merged = let(by_place, lambda a: F.when(F.exists(pairs(a), lambda x: x), merge(a)).otherwise(a))
+
+    def replaced(spans: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(spans, lambda s: s["end"]))
+        items = F.zip_with(spans, F.slice(ends, F.lit(1), F.size(spans)), lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"), s["kind"].alias("kind")))
+
+        def of_chunk(c: Column) -> Column:
+            piece = lambda t: lambda i: F.concat(cut(t, i["at"] - c[0]["at"], i["start"] - c[0]["at"]), F.lit("["), i["kind"], F.lit("]"))
+            return let(cut(F.col("text"), c[0]["at"], F.element_at(c, -1)["start"]), lambda t: F.array_join(F.transform(c, piece(t)), ""))
+
+        return F.concat(F.array_join(F.transform(chunks(items), of_chunk), ""), cut(F.col("text"), F.element_at(spans, -1)["end"], F.length("text")))
+
+    text = let(merged, replaced)
     return held.join(spans, "_row", "left").withColumn("text", F.when(F.col("spans").isNotNull(), text).otherwise(F.col("text"))).select(*(F.col("text" if c == "text" else f"_doc.`{c}`") for c in docs.columns))
 
 
