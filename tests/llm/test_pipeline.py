@@ -59,7 +59,7 @@ def test_stages_with_repeated_rows_and_other_columns(spark, world):
     base = [r for r in sorted(rows.values()) if r[1] and len(r[1]) > 300 and r[0] < 60]
     a, b = base[0], base[1]
     made = [(*r[:4], k, "x", "y") for k, r in enumerate(base)] * 2
-    made += [(a[0], f"{b[1]} more", *a[2:4], 1, "x", "y"), (None, a[1], "en", "s", 7, "x", "y"), (None, None, None, None, None, None, None), (7000, None, None, "s", None, "x", "y"), (7000, a[1], "en", "s", 3, "x", "y")]
+    made += [(base[-1][0], f"{b[1]} more", *a[2:4], 1, "x", "y"), (None, a[1], "en", "s", 7, "x", "y"), (None, None, None, None, None, None, None), (7000, None, None, "s", None, "x", "y"), (7000, a[1], "en", "s", 3, "x", "y")]
     docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, spans long, _digest string, _doc string")
     out = materialize(corpus_pipeline.STAGES[0][1](spark, docs, sf), "a")
     assert out.columns == docs.columns and out.count() == len(made) - 2
