@@ -116,8 +116,9 @@ def train(rows: DataFrame) -> Model | None:
     languages = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     # About twice the sample by hash, so that ranking the rest takes no more rows of a frequent language than of another.
     # A row that is repeated very often has one hash; then the ranks in each partition bound what is shuffled.
+    # One row a language, made from a list that the driver holds; the model has 64 KB for each.
     shares = spark.createDataFrame([(x, 2.0 * SAMPLE_PER_LANGUAGE / n) for x, n in languages], "lang string, _share double")
-    hashed = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("_h")).join(shares, "lang")
+    hashed = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("_h")).join(F.broadcast(shares), "lang")
     few = hashed.where(F.pmod(F.shiftrightunsigned("_h", 11), F.lit(1 << 40)) < F.col("_share") * float(1 << 40))
     sample = few.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_r") <= SAMPLE_PER_LANGUAGE).select("lang", "text")
 
