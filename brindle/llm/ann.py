@@ -4,7 +4,7 @@ Equal vectors are one node. Nodes get one more dimension that gives all the same
 is the nearest point. The graph starts from brute force within cells of random centres, in chunks of bounded size. Each
 round joins every node's neighbours, and those it is a neighbour of, with their vectors, and offers each pair of them to
 each other; a node keeps its ``k`` best. Nodes that learnt of none since the last round sit out; the rounds end when few
-neighbours are new. A search starts at a node's own neighbours and at a few common nodes, and goes to the neighbours of
+neighbours are new, or after a number that grows with the logarithm of the nodes. A search starts at a node's own neighbours and at a few common nodes, and goes to the neighbours of
 the best nodes found, until none of those is unvisited. Scores of the result are computed anew in double precision.
 """
 
@@ -26,7 +26,7 @@ from brindle.llm.common import materialize
 class Descent:
     k: int = 28  # neighbours that a node keeps
     sample: int = 40  # neighbours and reverse neighbours that a node introduces to each other in a round
-    rounds: int = 30  # at most; the share that is settled ends them, after about as many as the logarithm of the nodes
+    rounds: int = 7  # at most, and one more for each doubling of the nodes beyond 8192; the settled share may end them before
     cells: int = 4  # times that the nodes are dealt to cells for the start
     cell_nodes: int = 200  # nodes of a cell on average
     centres: int = 2048  # at most
@@ -167,7 +167,7 @@ def graph(points: DataFrame, width: int, how: Descent = Descent()) -> DataFrame:
                 once[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(c[once]), pa.array(s[once].astype(np.float32))], ["a", "b", "s"])
 
-    for t in range(how.rounds):
+    for t in range(how.rounds + max(0, math.ceil(math.log2(max(1, count) / 8192)))):
         worst = g.groupBy("a").agg(F.when(F.count("*") >= how.k, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
         held = points.select(F.col("node").alias("b"), "vec").join(worst.withColumnRenamed("a", "b"), "b")
         both = g.select("a", "b", "new").union(g.select(F.col("b").alias("a"), F.col("a").alias("b"), "new")).groupBy("a", "b").agg(F.max("new").alias("new"))
