@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -54,12 +56,34 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+PROCESS_CACHE = "_brindle_process_cache"
+
+
 def process_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, whichever task runs in it."""
-    holder = sys.modules.setdefault("_brindle_process_cache", type(sys)("_brindle_process_cache"))
+    holder = sys.modules.setdefault(PROCESS_CACHE, type(sys)(PROCESS_CACHE))
     return holder.__dict__.setdefault(name, {})
 
 
+def lean(batches, keep: tuple[str, ...] = ()) -> Iterator:
+    """The batches of a Python task. Caches that other operators left in the worker go first; freed memory goes back to the system at the end.
+
+    Spark's workers outlive their tasks, and each would hold the most that any task of any operator had, beside the JVM.
+    """
+    import pyarrow as pa
+
+    holder = sys.modules.get(PROCESS_CACHE)
+    for name, held in vars(holder).items() if holder else ():
+        if isinstance(held, dict) and name not in keep:
+            held.clear()
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+            trim(0)
+
+
 def slices(batches, column: str, limit: int = 4 << 20):
     """Cut Arrow batches into pieces of at most limit bytes in the column; a longer value comes alone."""
     import numpy as np

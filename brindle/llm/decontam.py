@@ -15,11 +15,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, slices
+from brindle.llm.common import lean, materialize, slices
 from brindle.llm.spans import LOWER, Powers, joined, range_names, words
 
 WINDOW = 10
 PART_BYTES = 32 << 20  # of benchmark text that is broadcast at a time
+SHARD_BYTES = 512 << 10  # of training text that a worker holds words of at a time
 # Digits, letters and every byte of a character beyond ASCII.
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
@@ -122,7 +123,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_by
             import pyarrow as pa
 
             powers, it = Powers(), items.value
-            for batch in slices(batches, "text", 2 << 20):
+            for batch in slices(batches, "text", SHARD_BYTES):
                 with np.errstate(over="ignore"):
                     names, first = _names(batch.column(1), powers)
                 place = np.searchsorted(it[1], names)
@@ -136,7 +137,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_by
                 kind = pa.list_(pa.struct([("item", pa.int64()), ("item_word", pa.int32()), ("word", pa.int32()), ("length", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first).astype(np.int64)), pa.array(rows, kind), *batch.columns[2:]], ["doc_id", "n_words", "matches", *batch.schema.names[2:]])
 
-        part = docs.mapInArrow(scan, schema)
+        part = docs.mapInArrow(lambda batches, scan=scan: lean(scan(batches)), schema)
         found = part if found is None else found.unionByName(part)
     if parts > 1:  # the parts' matches of a row meet again; each part gives each row once
         found = found.groupBy("_row", "doc_id", "n_words", *marks).agg(F.flatten(F.collect_list("matches")).alias("matches")).drop("_row")

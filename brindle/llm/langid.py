@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from brindle.llm.common import slices
+from brindle.llm.common import lean, slices
 
 DIMENSIONS = 4096
 CENTROIDS = 4
@@ -108,7 +108,7 @@ def train(rows: DataFrame) -> Model | None:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMENSIONS)), pa.array([n, *seen.tolist()])], ["dimension", "n"])
 
     counts = np.zeros(DIMENSIONS + 1, np.int64)
-    for r in rows.select("text").mapInArrow(frequencies, "dimension long, n long").groupBy("dimension").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("text").mapInArrow(lambda batches: lean(frequencies(batches)), "dimension long, n long").groupBy("dimension").agg(F.sum("n").alias("n")).collect():
         counts[r["dimension"] + 1] = r["n"]
     if not counts[0]:
         return None
@@ -177,4 +177,4 @@ def predict(docs: DataFrame, model: Model | None, keep_text: bool = True) -> Dat
                     rejected[i] = s < model.limits[owner, int(np.searchsorted(CUTS, len(texts[i])))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(names), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [*(batch.schema.names[i] for i in kept), "lang_pred", "score", "rejected"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: lean(run(batches)), schema)

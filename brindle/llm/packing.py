@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from brindle.llm.common import materialize, partitions, slices
+from brindle.llm.common import lean, materialize, partitions, slices
 from brindle.llm.tok import SLICE, encode, ended
 
 CAPACITY = 4096
@@ -96,7 +96,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACI
             crc = [zlib.crc32(raw[4 * a : 4 * (a + m)]) for a, m in zip(at.tolist(), length.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(tokens, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: lean(tokens(batches), ("tokenizers", "ids")), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 from brindle.llm import ann, chat, components, decontam, html, jaccard, langid, names, packing, pii, suffixdedup, tokenbin
+from brindle.llm.common import lean, process_cache
 from pyspark.sql import functions as F
 
 ROOT = Path(__file__).parent.parent.parent
@@ -109,6 +110,45 @@ def test_workers_need_no_copy_of_the_package(tmp_path):
     assert said.stdout.split() == ["10", "en"], said.stderr[-2000:]
 
 
+MEMORY = """
+import random, re, sys
+sys.path.insert(0, sys.argv[1])
+from pathlib import Path
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://" + sys.argv[2]).getOrCreate()
+import public_tokenizers
+from brindle.llm import packing
+random.seed(3)
+words = ["".join(random.choices("abcdefghij", k=8)) for _ in range(50_000)]
+Path(sys.argv[2], "d.txt").write_text("\\n".join(" ".join(random.choices(words, k=500)) for _ in range(6000)))
+d = spark.read.text(sys.argv[2] + "/d.txt").selectExpr("monotonically_increasing_id() as doc_id", "value as text")
+
+def probe(batches):
+    import pyarrow as pa
+    mb = sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) // 1024
+    for _ in batches:
+        yield pa.RecordBatch.from_pydict({"mb": pa.array([mb], pa.int64())})
+
+packing.cut(d, public_tokenizers.path("word_bpe_49k.json")).write.format("noop").mode("overwrite").save()
+print(max(spark.range(1).coalesce(1).mapInArrow(probe, "mb long").collect()[0][0] for _ in range(3)))
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="reads the kernel's figures")
+def test_workers_give_memory_back(tmp_path):
+    said = subprocess.run([sys.executable, "-c", MEMORY, str(ROOT), str(tmp_path)], capture_output=True, text=True, cwd=tmp_path, timeout=300)
+    assert said.stdout.split(), said.stderr[-2000:]
+    assert int(said.stdout) < 130, said.stdout
+
+
+def test_tasks_drop_the_caches_of_other_operators():
+    held = {"ids": process_cache("ids"), "others": process_cache("others")}
+    for x in held.values():
+        x["key"] = 1
+    assert list(lean([1, 2], ("ids",))) == [1, 2] and "key" in held["ids"] and not held["others"]
+    assert list(lean([])) == [] and not held["ids"]
+
+
 def test_longest_matches_span_windows(spark):
     d = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40)))], "doc_id long, text string")
     b = spark.createDataFrame([(5, " ".join(f"w{i}" for i in range(8, 30)))], "item_id long, text string")
