@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,10 +63,10 @@ def deleted(entries: DataFrame, kill: DataFrame) -> DataFrame:
     return gone.groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-def balances(entries: DataFrame, totals: DataFrame, order: list[str]) -> DataFrame:
-    """Add the balance of each bucket after each entry: its total less what was spent so far."""
-    spent = F.sum("amount").over(Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return entries.join(totals, "bucket").withColumn("balance", (F.col("total") - spent).cast(MONEY)).drop("total")
+def balances(entries: DataFrame, totals: DataFrame, order: list[str], by: Sequence[str] = ("bucket",)) -> DataFrame:
+    """Add the balance of each bucket after each entry: its total less what was spent so far. by: the columns of a bucket."""
+    spent = F.sum("amount").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return entries.join(totals, list(by)).withColumn("balance", (F.col("total") - spent).cast(MONEY)).drop("total")
 
 
 def cards(entries: DataFrame, totals: DataFrame, buckets: DataFrame) -> DataFrame:

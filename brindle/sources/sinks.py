@@ -6,10 +6,12 @@ import html
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 REPORT_ROWS = 10_000
+#: So many numbers of a ledger's seq are written as one text before a bucket's texts are joined.
+BLOCK = 1 << 14
 
 
 def report_rows(tasks: DataFrame) -> list[dict]:
@@ -63,10 +65,20 @@ def rewrite_todo(lines: DataFrame, path: str) -> None:
 
 
 def ledger_markdown(entries: DataFrame, totals: DataFrame) -> DataFrame:
-    """bucket, text: each bucket's ledger file, balances derived."""
+    """bucket, text: each bucket's ledger file, balances derived.
+
+    Entries are summed, numbered with balances and written as text in blocks of seq; a bucket's task only joins the texts of its blocks.
+    """
     from brindle.operators.ledger import balances
 
+    at = ["bucket", "block"]
+    e = entries.withColumn("block", F.coalesce(F.expr(f"seq div {BLOCK}"), F.lit(-(1 << 63))))
+    before = F.sum("spent").over(Window.partitionBy("bucket").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    opening = e.groupBy(*at).agg(F.sum("amount").alias("spent")).join(totals, "bucket").select(*at, (F.col("total") - F.coalesce(before, F.lit(0))).alias("total"))
     row = F.concat(F.lit("| "), F.col("date"), F.lit(" | "), F.col("memo"), F.lit(" | "), (-F.col("amount")).cast("string"), F.lit(" | "), F.col("balance").cast("string"), F.lit(" |"))
-    rows = balances(entries, totals, ["seq"]).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("seq", row.alias("row")))).alias("rows"))
-    body = F.array_join(F.transform(F.coalesce("rows", F.array().cast("array<struct<seq: bigint, row: string>>")), lambda r: r["row"]), "\n")
-    return totals.join(rows, "bucket", "left").select("bucket", F.concat(F.lit("总额："), F.col("total").cast("string"), F.lit("\n\n| 日期 | 摘要 | 金额 | 余额 |\n|---|---|---|---|\n"), body).alias("text"))
+    in_order = lambda by, text: F.transform(F.array_sort(F.collect_list(F.struct(by, text.alias("text")))), lambda r: r["text"])
+    rows = balances(e, opening, ["seq"], at).groupBy(*at).agg(F.array_join(in_order("seq", row), "\n").alias("text")).where("text <> ''")
+    head = totals.select("bucket", F.lit(None).cast("bigint").alias("block"), F.concat(F.lit("总额："), F.col("total").cast("string"), F.lit("\n\n| 日期 | 摘要 | 金额 | 余额 |\n|---|---|---|---|")).alias("text"))
+    # concat_ws makes the whole text once, at its size; a head alone ends its line.
+    whole = F.concat_ws("\n", in_order("block", F.col("text")), F.when(F.count("*") == 1, ""))
+    return head.unionByName(rows).groupBy("bucket").agg(F.when(F.count("text") == F.count("*"), whole).alias("text"))

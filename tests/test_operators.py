@@ -282,3 +282,18 @@ def test_rules_and_folded(spark, sample, tmp_path):
     (tmp_path / "rules.json").write_text('[{"id": 1, "name": "a"},\n {"id": 2}]', encoding="utf-8")
     assert [tuple(r) for r in text.rules(spark, str(tmp_path / "rules.json"), "id int, name string").orderBy("id").collect()] == [(1, "a"), (2, None)]
     assert sorted((r["pos"], r["folded"]) for r in tasks.folded(sample).collect()) == [(0, True), (1, False), (2, True)]
+
+
+def test_a_ledger_file_is_written_in_blocks(spark, monkeypatch):
+    """No task but a block's holds single entries: a bucket's joins the texts of its blocks, whose balances go on from block to block."""
+    totals = spark.sql("select bucket, cast(total as decimal(18,2)) as total from values ('A', 1000), ('B', 5), ('N', null) as t(bucket, total)")
+    at = [None, *range(-9, 27)]
+    entries = spark.createDataFrame([("A", s, f"d{k}", None if k == 20 else "m", k) for k, s in enumerate(at)][::-1] + [("B", 5, "d", "m", None), ("Z", 5, "d", "m", 1), ("N", 5, "d", "m", 1)], "bucket string, seq long, date string, memo string, amount int")
+    entries = entries.withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    monkeypatch.setattr(sinks, "BLOCK", 4, raising=False)
+    found = sinks.ledger_markdown(entries, totals)
+    steps = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "collect_list" in x]
+    assert len(steps) == 2 and all("block" in x for x in steps)
+    head = "总额：{}.00\n\n| 日期 | 摘要 | 金额 | 余额 |\n|---|---|---|---|\n"
+    rows = [f"| d{k} | m | {-k}.00 | {1000 - sum(range(k + 1))}.00 |" for k in range(len(at)) if k != 20]
+    assert {r["bucket"]: r["text"] for r in found.collect()} == {"A": head.format(1000) + "\n".join(rows), "B": head.format(5), "N": None}
