@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from brindle.functions.sizes import small
 
@@ -35,11 +36,16 @@ def by_class(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
 def nominees(templates: DataFrame, classes: DataFrame, keywords: dict[str, list[str]], k: int = 3) -> DataFrame:
     """The k best of all templates for each class and first category, which are enough for top(), diverse() and low_match().
 
-    Any number of templates is scored, once a class; classes is the small side.
+    Any number of templates is scored, once a class; classes is the small side. A task holds k of each class and category;
+    from 128 such groups on (spark.sql.objectHashAggregate.sortBased.fallbackThreshold) Spark sorts the rest of a task's pairs, on disk where need be.
+    Columns: request, id, categories, is_common, score.
     """
-    w = Window.partitionBy("request", F.element_at("categories", 1)).orderBy(F.desc("score"), F.desc("is_common"), "id")
-    scored = _scored(templates.crossJoin(small(classes)), keywords)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
+    score, common = F.col("score"), F.col("is_common")
+    # Ascending in what desc(score), desc(is_common), id order by: NaN first, nulls last.
+    place = F.struct(score.isNull().alias("a"), (~F.isnan("score")).alias("b"), (-score).alias("c"), common.isNull().alias("d"), (~common).alias("e"), "id", "categories", "is_common", "score")
+    scored = _scored(templates.repartition("id").crossJoin(small(classes)), keywords)
+    best = scored.groupBy("request", F.element_at("categories", 1)).agg(InternalFunction.collect_top_k(place, k, True).alias("best"))
+    return best.select("request", F.explode("best").alias("best")).select("request", *(f"best.{c}" for c in ("id", "categories", "is_common", "score")))
 
 
 def of_members(chosen: DataFrame, members: DataFrame) -> DataFrame:

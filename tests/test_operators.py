@@ -297,3 +297,22 @@ def test_a_ledger_file_is_written_in_blocks(spark, monkeypatch):
     head = "总额：{}.00\n\n| 日期 | 摘要 | 金额 | 余额 |\n|---|---|---|---|\n"
     rows = [f"| d{k} | m | {-k}.00 | {1000 - sum(range(k + 1))}.00 |" for k in range(len(at)) if k != 20]
     assert {r["bucket"]: r["text"] for r in found.collect()} == {"A": head.format(1000) + "\n".join(rows), "B": head.format(5), "N": None}
+
+
+def test_nominees_are_kept_without_sorting_the_pairs(spark):
+    """Ties, nulls and NaN rank as in top(), and no task sorts or holds the pairs of templates and classes."""
+    values = [0.0, 1.0, None, float("nan"), 1.0]
+    rows = [(f"t{i:03}", ["planning", "sales"] if i % 3 else [None, "sales"], i % 10 + 1, values[i % 5], [True, False, None][i % 7 % 3], "", ["k"], 1, 9) for i in range(90)]
+    templates = spark.createDataFrame(rows, "id string, categories array<string>, difficulty int, popularity double, is_common boolean, description string, best_for array<string>, team_lo int, team_hi int")
+    kinds = [("planning", "simple", "a"), ("multiple", None, "b"), ("sales", "any", None)]
+    answers = spark.createDataFrame([(n, s, ["sales"], d, "solo", q) for n, (s, d, q) in enumerate(kinds)], "request int, scenario string, multi_scenario array<string>, difficulty_preference string, team_context string, specific_need string")
+    # One with every score null or NaN besides, where only the order of these decides.
+    for pick in (F.lit(True), F.col("popularity").isNull(), F.isnan("popularity") | F.col("popularity").isNull()):
+        some = templates.where(pick)
+        classes, members = recommend.by_class(answers)
+        found, each = recommend.nominees(some, classes, {"a": ["k"]}), recommend.score(some, answers, {"a": ["k"]})
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Sort " not in plan and "Window" not in plan
+        for choose in (recommend.top, recommend.diverse):
+            plain = lambda d: sorted((r["request"], r["rank"], r["id"], str(r["score"])) for r in d.collect())
+            assert plain(recommend.of_members(choose(found), members)) == plain(choose(each))
