@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,9 +55,16 @@ def cost_latency(calls: DataFrame, by: list[str], price: float) -> DataFrame:
 
 
 def pareto(points: DataFrame, by: list[str]) -> DataFrame:
-    """Points (cost, quality) that no cheaper or equally dear one reaches."""
-    w = Window.partitionBy(*by).orderBy("cost", F.desc("quality")).rowsBetween(Window.unboundedPreceding, -1)
-    return points.withColumn("_best", F.max("quality").over(w)).where("_best is null or quality > _best").drop("_best")
+    """Points (cost, quality) that no point of their group beats: at least as good and cheaper, or better and as dear.
+
+    Equal points stay or go together. What is null (group, cost or quality) compares with nothing and stays.
+    """
+    at = [*by, "cost"]
+    unknown = functools.reduce(Column.__or__, (F.col(c).isNull() for c in [*at, "quality"]))
+    best = points.where(~unknown).groupBy(*at).agg(F.max("quality").alias("quality"))
+    cheaper = F.max("quality").over(Window.partitionBy(*by).orderBy("cost").rowsBetween(Window.unboundedPreceding, -1))
+    front = best.withColumn("_best", cheaper).where("_best is null or quality > _best").select(*at, "quality", F.lit(True).alias("_front"))
+    return points.join(front, [*at, "quality"], "left").where(F.col("_front") | unknown).select(*points.columns)
 
 
 def coverage(all_items: DataFrame, covered: DataFrame, key: str, by: list[str]) -> DataFrame:

@@ -316,3 +316,20 @@ def test_nominees_are_kept_without_sorting_the_pairs(spark):
         for choose in (recommend.top, recommend.diverse):
             plain = lambda d: sorted((r["request"], r["rank"], r["id"], str(r["score"])) for r in d.collect())
             assert plain(recommend.of_members(choose(found), members)) == plain(choose(each))
+
+
+def test_equal_points_of_a_front_stay_together(spark):
+    nan = float("nan")
+    rows = [("a", 1.0, 5.0), ("a", 1.0, 5.0), ("a", 1.0, 4.0), ("a", 2.0, 5.0), ("a", 3.0, 7.0), ("a", 3.0, 7.0), ("a", 4.0, nan), ("a", nan, nan), ("b", 0.0, 1.0), ("b", -0.0, 1.0), ("b", None, 9.0), ("b", None, 0.0), ("b", 2.0, None), (None, 1.0, 1.0), (None, 2.0, 0.0)]
+    points = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, g string, cost double, quality double")
+    found = evalmetrics.pareto(points, ["g"])
+    assert found.columns == points.columns
+    assert sorted(r["id"] for r in found.collect()) == [0, 1, 4, 5, 6, 8, 9, 10, 11, 12, 13, 14]
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute("create table p (id int, g varchar, cost double, quality double)")
+    db.executemany("insert into p values (?, ?, ?, ?)", [(k, *r) for k, r in enumerate(rows)])
+    want = db.execute("select id from p a where not exists (select 1 from p b where b.g = a.g and (b.cost < a.cost and b.quality >= a.quality or b.cost = a.cost and b.quality > a.quality)) order by id").fetchall()
+    assert [x for (x,) in want] == sorted(r["id"] for r in found.collect())
+    assert sorted(r["id"] for r in evalmetrics.pareto(points.where("g = 'a'"), []).collect()) == [0, 1, 4, 5, 6]
